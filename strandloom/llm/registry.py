@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from strandloom.llm.bpe import op4_bpe
 from strandloom.llm.decontaminate import op8_decontaminate
 
 
 def queries() -> dict:
-    return {"op8_decontaminate": op8_decontaminate}
+    return {"op4_bpe": op4_bpe, "op8_decontaminate": op8_decontaminate}
 
 
 def oracle_sql() -> dict:
