@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from strandloom.llm.bpe import op4_bpe
 from strandloom.llm.decontaminate import op8_decontaminate
+from strandloom.llm.simhash import op5_simhash
 
 
 def queries() -> dict:
-    return {"op4_bpe": op4_bpe, "op8_decontaminate": op8_decontaminate}
+    return {"op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_decontaminate": op8_decontaminate}
 
 
 def oracle_sql() -> dict:
