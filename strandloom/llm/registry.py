@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from strandloom.llm.bpe import op4_bpe
 from strandloom.llm.decontaminate import op8_decontaminate
+from strandloom.llm.jpeg import op9_jpeg
 from strandloom.llm.simhash import op5_simhash
 from strandloom.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_decontaminate": op8_decontaminate}
+    return {"op2_toxicity": op2_toxicity, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_decontaminate": op8_decontaminate, "op9_jpeg": op9_jpeg}
 
 
 def oracle_sql() -> dict:
