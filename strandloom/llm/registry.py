@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandloom.llm.bpe import op4_bpe
 from strandloom.llm.decontaminate import op8_decontaminate
 from strandloom.llm.jpeg import op9_jpeg
+from strandloom.llm.langid import op6_langid
 from strandloom.llm.simhash import op5_simhash
 from strandloom.llm.toxicity import op2_toxicity
 from strandloom.llm.urls import op10_urls
@@ -12,7 +13,7 @@ from strandloom.llm.warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_decontaminate": op8_decontaminate, "op9_jpeg": op9_jpeg, "op10_urls": op10_urls}
+    return {"op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op8_decontaminate": op8_decontaminate, "op9_jpeg": op9_jpeg, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict:
