@@ -9,15 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from strandloom.llm.common import slices, table, utf8
+from strandloom.llm.simhash import shingle_hashes
 
 #: Labelled rows, at most, that the lexicon and the weights are learned from: so many of each label, by the hash of their id.
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
 #: Terms of the lexicon, at most; the shortest word that counts, the shortest that also counts misspelled.
 MAX_TERMS, MIN_LETTERS, MIN_FUZZY = 400, 4, 5
 #: A stem stands for all words that begin with it; it takes so many different words to be one.
@@ -31,6 +31,10 @@ SURE = 4.0
 FEATURES = ("plain", "stem", "fuzzy", "quoted", "dense")
 
 
+#: 1 for the code points that words are made of.
+WORD = np.array([chr(i).isalnum() for i in range(0x110000)], np.uint8)
+
+
 def words_of(text: str) -> list[str]:
     return regex.findall(r"[^\W\d_]+", text.lower())
 
@@ -108,11 +112,11 @@ class Automaton:
 
     def tables(self) -> np.ndarray:
         """The class of each code point, folded to lower case."""
-        out = np.zeros(0x110000, np.uint8)
-        for i in range(0x110000):
-            c = chr(i)
-            if c.isalnum():
-                out[i] = self.classes.get(c.lower(), 1)
+        out = WORD.copy()
+        for c, k in self.classes.items():
+            for x in {c, c.upper()}:
+                if len(x) == 1:
+                    out[ord(x)] = k
         for c in INSIDE:
             out[ord(c)] = 255
         return out
@@ -184,77 +188,82 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-class Sample:
-    """The different words of each labelled text, with a print that near copies share."""
-
-    def __init__(self, texts: list[str], toxic: np.ndarray):
-        self.toxic = toxic
-        self.words, self.prints = [], []
-        for text in texts:
-            ws = words_of(text)
-            self.words.append({w for w in ws if len(w) >= MIN_LETTERS})
-            self.prints.append(min((xxhash.xxh64_intdigest(" ".join(ws[i : i + 5])) for i in range(max(1, len(ws) - 4))), default=0))
-
-
 def stems(word: str) -> list[str]:
     return [word[:n] + "*" for n in STEM_LETTERS if n < len(word)]
 
 
-def lexicon(sample: Sample, rows: list[int]) -> dict[str, float]:
+class Sample:
+    """Which words and stems of toxic texts each labelled text has, as numbers, with a print that near copies share."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        self.toxic = toxic
+        ids: dict[str, int] = {}
+        under: list[tuple[int, int]] = []
+        pairs: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        self.prints = np.zeros(len(texts), np.uint64)
+        for y in (1, 0):
+            for i in np.flatnonzero(toxic == y).tolist():
+                ws = words_of(texts[i])
+                self.prints[i] = shingle_hashes(texts[i].encode(), 5).min(initial=np.uint64(2**64 - 1))
+                own = set()
+                for w in {w for w in ws if len(w) >= MIN_LETTERS}:
+                    if y and w not in ids:
+                        ids[w] = k = len(ids)
+                        under += [(ids.setdefault(t, len(ids)), k) for t in stems(w)]
+                    own.update(ids[t] for t in (w, *stems(w)) if t in ids)
+                pairs[i] = np.fromiter(own, np.int32, len(own))
+        self.pairs, self.terms, self.under = pairs, list(ids), np.array(under, np.int64).reshape(-1, 2)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """In how many prints of these rows each term is."""
+        which = np.unique(self.prints[rows], return_inverse=True)[1]
+        both = [self.pairs[i].astype(np.int64) * (len(rows) + 1) + w for i, w in zip(rows.tolist(), which.tolist(), strict=True)]
+        return np.bincount(np.unique(np.concatenate([*both, np.zeros(0, np.int64)])) // (len(rows) + 1), minlength=len(self.terms))
+
+
+def lexicon(sample: Sample, rows: np.ndarray) -> dict[str, float]:
     """Words and stems that tell toxic texts, each by a binomial test corrected for their number, with their log odds.
 
     Near copies count once. A stem has to hold without its most frequent word, too; else it's that word.
     """
-    hit: dict[str, set] = defaultdict(set)
-    clean: dict[str, set] = defaultdict(set)
-    prints: tuple[set, set] = (set(), set())
-    for i in rows:
-        prints[sample.toxic[i]].add(sample.prints[i])
-        if sample.toxic[i]:
-            for w in sample.words[i]:
-                hit[w].add(sample.prints[i])
-    if not prints[0] or not prints[1]:
+    toxic, clean = rows[sample.toxic[rows] == 1], rows[sample.toxic[rows] == 0]
+    n1, n0 = len(np.unique(sample.prints[toxic])), len(np.unique(sample.prints[clean]))
+    if not n0 or not n1:
         return {}
-    under: dict[str, list[str]] = defaultdict(list)
-    for w in list(hit):
-        for t in stems(w):
-            under[t].append(w)
-    for t, ws in under.items():
-        if len(ws) >= STEM_WORDS:
-            hit[t] = set().union(*(hit[w] for w in ws))
-    # A stem's own evidence is what its most frequent word doesn't give.
-    rest = {t: set().union(*sorted((hit[w] for w in ws), key=len)[:-1]) for t, ws in under.items() if t in hit}
-    candidates = {t for t, x in hit.items() if len(x) >= 3}
-    for i in rows:
-        if not sample.toxic[i]:
-            for w in sample.words[i]:
-                for t in (w, *stems(w)):
-                    if t in candidates:
-                        clean[t].add(sample.prints[i])
-    base = len(prints[1]) / (len(prints[0]) + len(prints[1]))
-    least = math.log(20 * max(1, len(candidates)))
-
-    def evidence(n: int, k: int) -> float:
-        p = k / max(1, n + k)
-        return (n + k) * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)) if p > base else 0.0
-
-    odds = lambda t: math.log((len(hit[t]) + 0.5) / (len(prints[1]) + 1) * (len(prints[0]) + 1) / (len(clean[t]) + 0.5))
-    good = {t: evidence(len(clean[t]), len(hit[t])) for t in candidates if len(clean[t]) * len(prints[1]) <= 0.1 * len(hit[t]) * len(prints[0])}
-    good = {t: e for t, e in good.items() if e >= least and (t[-1] != "*" or evidence(len(clean[t]), len(rest[t])) >= least and 2 * len(rest[t]) > len(hit[t]))}
+    k1, k0 = sample.counts(toxic), sample.counts(clean)
+    base = n1 / (n0 + n1)
+    stem = np.array([t[-1] == "*" for t in sample.terms], bool)
+    top, kinds = np.zeros(len(stem), np.int64), np.zeros(len(stem), np.int64)
+    np.maximum.at(top, sample.under[:, 0], k1[sample.under[:, 1]])
+    np.add.at(kinds, sample.under[:, 0], (k1[sample.under[:, 1]] > 0).astype(np.int64))
+    candidate = (k1 >= 3) & (~stem | (kinds >= STEM_WORDS))
+    least = math.log(20 * max(1, int(candidate.sum())))
+
+    def evidence(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        p = k / np.maximum(1, n + k)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            e = (n + k) * (p * np.log(p / base) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - base)), 0))
+        return np.where(p > base, e, 0.0)
+
+    own, rest = evidence(k0, k1), k1 - top
+    good = candidate & (k0 * n1 <= 0.1 * k1 * n0) & (own >= least) & (~stem | ((evidence(k0, rest) >= least) & (2 * rest > k1)))
+    found = {sample.terms[i]: i for i in np.flatnonzero(good).tolist()}
     out: list[str] = []
-    for t in sorted((t for t in good if t[-1] == "*"), key=lambda t: (len(t), t)):
+    for t in sorted((t for t in found if t[-1] == "*"), key=lambda t: (len(t), t)):
         if not any(t.startswith(x[:-1]) for x in out):
             out.append(t)
-    out += [t for t in good if t[-1] != "*" and not any(t.startswith(x[:-1]) for x in out if x[-1] == "*")]
-    return {t: odds(t) for t in sorted(sorted(out, key=lambda t: (-good[t], t))[:MAX_TERMS])}
+    out += [t for t in found if t[-1] != "*" and not any(t.startswith(x[:-1]) for x in out if x[-1] == "*")]
+    odds = lambda i: math.log((k1[i] + 0.5) / (n1 + 1) * (n0 + 1) / (k0[i] + 0.5))
+    return {t: odds(found[t]) for t in sorted(sorted(out, key=lambda t: (-own[found[t]], t))[:MAX_TERMS])}
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Learns lexicon and weights. The weights come from hits of a lexicon that the other half of the rows gave."""
     sample = Sample(texts, toxic)
-    half = np.array([p % 2 for p in sample.prints], np.int64)
-    model = Model(lexicon(sample, list(range(len(texts)))))
-    text, _, _, _, term, kind, _ = model.hits(texts) if texts else [np.zeros(0, np.int64)] * 7
+    half = (sample.prints % np.uint64(2)).astype(np.int64)
+    model = Model(lexicon(sample, np.arange(len(texts))))
+    hits = [(at + part[0], part[4], part[5]) for at in range(0, len(texts), 200) for part in [model.hits(texts[at : at + 200])]]
+    text, term, kind = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*hits, strict=True)) if hits else [np.zeros(0, np.int64)] * 3
     # Misspelled forms count unless clean texts have forms like them: of this term, or of one that begins alike.
     begun: dict[str, int] = defaultdict(int)
     for i, k in {*zip(text[kind == 3].tolist(), term[kind == 3].tolist(), strict=True)}:
@@ -264,10 +273,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     x, y = [np.zeros((0, len(FEATURES)))], [np.zeros(0)]
     for h in (0, 1):
         own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
-        part = Model(lexicon(sample, other.tolist()))
+        part = Model(lexicon(sample, other))
         part.fuzzy = np.array([usable(t) for t in part.automaton.terms])
         if len(own):
-            x.append(part.features([texts[i] for i in own]))
+            x += [part.features([texts[i] for i in own[at : at + 200]]) for at in range(0, len(own), 200)]
             y.append(toxic[own])
     x, y = np.concatenate(x), np.concatenate(y)
     z = np.column_stack((np.ones(len(x)), x))
