@@ -212,8 +212,11 @@ def decode(tokens: DataFrame, ids: str = "ids", text: str = "text", path: str |
     return tokens.withColumn(text, F.arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of each row: its text encoded, and those ids decoded again."""
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256 of each row: its text encoded, and those ids decoded again; also the ids if asked.
+
+    Null and empty texts have no ids. Repeated rows give equal rows.
+    """
     bpe = docs.sparkSession.sparkContext.broadcast(load(path or vocabulary_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +224,16 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         sha = hashlib.sha256
         for batch in slices(batches, "_text"):
             ids = bpe.value.encode([t.decode() for t in batch.column("_text").to_pylist()], cache)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(bpe.value.decode(x).encode()).hexdigest() for x in ids], pa.string())],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(key, utf8(text).alias("_text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(bpe.value.decode(x).encode()).hexdigest() for x in ids], pa.string())]
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(key, utf8(text).alias("_text")).mapInArrow(run, schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,12 +129,12 @@ def vocabulary_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dic
     return {names[r.w]: r.n for r in rows}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, least_words: int = 1, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Columns ``keep`` of docs (all but the text if None), with n_words, n_hit and items (ids as sorted text) for each row.
 
     A word is hit if it lies inside any occurrence of a window of a benchmark item; items holds those with an occurring window.
     Null and empty texts have no words: 0, 0 and no items. Repeated rows give equal rows, repeated items count once by their id.
-    An empty benchmark hits nothing. Columns of docs named like the new ones are replaced.
+    An empty benchmark hits nothing. Items of fewer than ``least_words`` words are left out. Columns of docs named like the new ones are replaced.
     The benchmark is taken in item order in rounds of about ``max_windows`` windows; each is broadcast, and the rounds follow
     one another over the same rows within one stage.
     """
@@ -144,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     for row in benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).orderBy("i").toLocalIterator():
         if len(rounds[-1]) >= max_windows:
             rounds.append([])
-        rounds[-1] += windows_of([(row.i, bytes(row.t))])
+        rounds[-1] += windows_of([(row.i, bytes(row.t))]) if len(words(bytes(row.t))) >= least_words else []
     found = docs.select(*keep, utf8(text).alias("_text"))
     for k, windows in enumerate(rounds):
         counts = vocabulary_counts(docs, text, {w for _, ws in windows for w in ws}) if windows else {}
@@ -155,6 +155,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     return found
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows without any window of WINDOW words of a benchmark item, whole and unchanged; shorter items are too common to tell."""
+    found = contaminated(docs.withColumn("_body", F.col(text)), benchmark, text, keep=[*(c for c in docs.columns if c != text), "_body"], least_words=WINDOW)
+    return found.where(F.size("items") == 0).withColumnRenamed("_body", text).select(*docs.columns)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n = F.size("items").cast("long")

@@ -21,8 +21,10 @@ SHARD = 2048
 BLOCK = 256
 #: Shards of up to so many rows are one leaf: all their pairs are compared.
 LEAF = 48
+#: Hot shards whose list is broadcast, at most; a longer list is joined by a shuffle.
+HOT = 100_000
 #: Wide sketches: smallest shingle hashes that place a text into shards, counters and bits.
-ANCHORS, COUNTERS, BITS = 6, 4096, 1024
+ANCHORS, COUNTERS, BITS = 8, 4096, 1024
 #: A wide sketch counts as similar from this much under the asked similarity, two standard errors of its estimate.
 TOLERANCE = 0.05
 
@@ -190,11 +192,10 @@ def link(keyed: DataFrame, second: "F.Column", radius: int) -> DataFrame:
     Shards of over SHARD rows are dealt out again by (shard, each element of ``second``): a column of arrays of long
     such that two linked rows of a shard have an element in common.
     """
-    keyed = cut(keyed)
-    hot = keyed.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.lit(True).alias("_hot"))
-    dealt = keyed.join(hot, "shard", "left").select(
-        F.explode(F.when(F.col("_hot"), F.transform(second, lambda x: F.xxhash64("shard", x))).otherwise(F.array("shard"))).alias("shard"), "node", "print"
-    )
+    hot = cut(keyed.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.lit(True).alias("_hot")))
+    n = hot.count()
+    keyed = keyed.join(F.broadcast(hot) if n <= HOT else hot, "shard", "left") if n else keyed.withColumn("_hot", F.lit(False))
+    dealt = keyed.select(F.explode(F.when(F.col("_hot"), F.transform(second, lambda x: F.xxhash64("shard", x))).otherwise(F.array("shard"))).alias("shard"), "node", "print")
     return dealt.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(link_shards(radius), "a long, b long")
 
 
@@ -217,7 +218,7 @@ def groups(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame
     large, one of the pieces of the other bits. Rows without a key keep the group of their fingerprint.
     """
     prints = cut(prints)
-    distinct = prints.groupBy("fingerprint").agg(F.min(key).alias("node"))
+    distinct = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("node")))
     n = radius + 1
     bounds = [64 * i // n for i in range(n + 1)]
     piece = lambda f, i, m, b=bounds: F.shiftrightunsigned(f, b[i]).bitwiseAND(F.lit((1 << (b[i + 1] - b[i])) - 1)) * F.lit(m) + F.lit(i)
@@ -238,6 +239,72 @@ def groups(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame
     return prints.join(named, "fingerprint")
 
 
+def sketches(texts: list[bytes], width: int, signs: np.ndarray) -> tuple[list[bytes], list[list[int]]]:
+    """(print, anchors) of each text: SimHash of BITS bits of its different shingles, and the smallest of their hashes.
+
+    The bits are signs of random projections of a count sketch of the shingles, whole numbers below 2**24 in float32,
+    so they are the same everywhere.
+    """
+    counters, anchors = np.zeros((len(texts), COUNTERS), np.float32), []
+    for i, t in enumerate(texts):
+        h = np.unique(shingle_hashes(t, width))
+        anchors.append(h[:ANCHORS].view(np.int64).tolist())
+        counters[i] = np.bincount((h >> np.uint64(20) & np.uint64(COUNTERS - 1)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0), COUNTERS)
+    bits = np.packbits(counters @ signs > 0, axis=1)
+    return [x.tobytes() for x in bits], anchors
+
+
+def projection() -> np.ndarray:
+    """COUNTERS by BITS of 1 and -1, always the same."""
+    bits = np.unpackbits(np.frombuffer(np.random.RandomState(SEED).bytes(COUNTERS * BITS // 8), np.uint8))
+    return (2.0 * bits.reshape(COUNTERS, BITS) - 1).astype(np.float32)
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits at which texts of this Jaccard similarity are, on average, if they are of equal length."""
+    return int(BITS * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+
+
+def normal(text: str) -> "F.Column":
+    """md5 of the words in lower case (A-Z), joined by blanks."""
+    folded = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.trim(F.regexp_replace(folded, r"[\x20\x09-\x0D]+", " ")).cast("binary"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest key (null keys last), whole and unchanged.
+
+    Texts are linked if the wide SimHash sketches of their different shingles of ``width`` words are as near as those of
+    sets with Jaccard similarity ``similarity`` (less TOLERANCE for the sketch's error); groups are what links connect.
+    Linked texts meet in a shard by one of the ANCHORS smallest shingle hashes, which nearly all pairs this similar have
+    in common (all but 0.2**8), and in a shard that is too large by two. Equal words are equal texts: one stands for all.
+    Null and empty texts have no words and are one group. Texts of fewer words have one shingle, all of them.
+    """
+    columns = docs.columns
+    tagged = docs.withColumns({"_norm": normal(text), "_row": F.xxhash64(*columns)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = projection()
+        for batch in slices(batches, "_text", 1 << 20):
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                prints, anchors = sketches(part.column("_text").to_pylist(), width, signs)
+                yield pa.RecordBatch.from_arrays([part.column("_norm"), part.column("_key"), part.column("_row"), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["_norm", "_key", "_row", "print", "anchors"])
+
+    light = tagged.select("_norm", F.col(key).alias("_key"), "_row", utf8(text).alias("_text"))
+    drawn = light.mapInArrow(run, f"_norm string, _key {docs.schema[key].dataType.simpleString()}, _row long, print binary, anchors array<long>")
+    best = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")
+    distinct = cut(drawn.groupBy("_norm").agg(best, F.min("print").alias("print"), F.min("anchors").alias("anchors"))).withColumn("node", F.monotonically_increasing_id())
+    shards = distinct.select(F.explode("anchors").alias("shard"), "node", "print", "anchors")
+    other = F.array_except("anchors", F.array("shard"))
+    roots = connected(link(shards, other, wide_radius(similarity - TOLERANCE)))
+    grouped = distinct.join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
+    kept = grouped.groupBy("_group").agg(F.min(F.struct("best", "_norm")).alias("w")).select("w._norm", F.col("w.best._key").alias("_key"), F.col("w.best._row").alias("_row"))
+    same = [tagged["_norm"] == kept["_norm"], tagged["_row"] == kept["_row"], tagged[key].eqNullSafe(kept["_key"])]
+    stay = tagged.join(kept, [*same], "left_semi")
+    return stay.dropDuplicates(["_norm", "_row"]).select(*columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
