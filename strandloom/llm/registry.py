@@ -6,6 +6,7 @@ from strandloom.llm.bpe import op4_bpe
 from strandloom.llm.decontaminate import op8_decontaminate
 from strandloom.llm.jpeg import op9_jpeg
 from strandloom.llm.langid import op6_langid
+from strandloom.llm.licenses import op7_licenses
 from strandloom.llm.pii import op1_pii
 from strandloom.llm.simhash import op5_simhash
 from strandloom.llm.toxicity import op2_toxicity
@@ -14,7 +15,7 @@ from strandloom.llm.warc import op3_warc
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op8_decontaminate": op8_decontaminate, "op9_jpeg": op9_jpeg, "op10_urls": op10_urls}
+    return {"op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_langid": op6_langid, "op7_licenses": op7_licenses, "op8_decontaminate": op8_decontaminate, "op9_jpeg": op9_jpeg, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict:
