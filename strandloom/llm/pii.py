@@ -37,6 +37,8 @@ REACH = 80
 BEFORE, AFTER = r"(\p{L}{2,64})[^\p{L}]{0,8}$", r"^[^\p{L}]{0,8}(\p{L}{2,64})"
 #: Documents that a word must stand beside a kind of entity in; the normalised mutual information from which it's generalised, and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.35, 0.7
+#: Words that lists of cues hold together, at most, to be broadcast.
+CUES = 50_000
 #: Matches whose positions are summed together; a text may have any number.
 BLOCK = 256
 
@@ -148,7 +150,7 @@ def replaced(t: Column, kind: str, cues: Column) -> Column:
     label = F.lit(f"[{kind.upper()}]")
 
     def swap(word: Column, instead: Column) -> Column:
-        action = F.element_at(F.filter(cues, lambda c: c["term"] == F.lower(word)), 1)["action"]
+        action = F.get(F.filter(cues, lambda c: c["term"] == F.lower(word)), F.lit(0))["action"]
         return F.when(action == "remove", F.lit("")).when(action == "generalise", F.lit("[WORD]")).otherwise(instead)
 
     def tail(p: Column) -> Column:
@@ -175,12 +177,15 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """Docs with every entity of their texts replaced by its kind in brackets, and the words that reveal it removed or by ``[WORD]``.
 
     Null texts stay null. The disclosive words of a kind are few beside the rows, but have no bound: they join by word,
-    and come back to the rows as a list for each distinct text that has entities.
+    and come back to the rows as a list for each distinct text that has some, broadcast if all lists hold at most
+    CUES words, else by a shuffle.
     """
     base = analysed(docs.select(F.col(text).alias("_source"), F.md5(F.col(text).cast("binary")).alias("_md5")).where("_source is not null"), "_source")
     cues = disclosive(docs, base, text)
     own = occurrences(base).join(base.select("_row", "_md5"), "_row").join(cues, ["kind", "term"])
-    listed = own.groupBy("_md5").agg(F.collect_set(F.struct("kind", "term", "action")).alias("_cues"))
+    listed = cut(own.groupBy("_md5").agg(F.collect_set(F.struct("kind", "term", "action")).alias("_cues")))
+    if (listed.agg(F.sum(F.size("_cues"))).first()[0] or 0) <= CUES:
+        listed = F.broadcast(listed)
     rows = docs.withColumn("_md5", F.md5(F.col(text).cast("binary"))).join(listed, "_md5", "left")
     for kind in ("email", "card", "phone", "ip"):
         rows = rows.withColumn(text, replaced(F.col(text), kind, cues_of(kind)))
