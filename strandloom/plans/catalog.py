@@ -1,13 +1,326 @@
-"""The registered queries of the library and the SQL that checks them."""
+"""The registered queries of the library and the SQL that checks them.
+
+Each applies an operator to the driver's relational tables; the operators are those that read files go through.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import headers, numbers
+from strandloom.functions import sequences as S
+from strandloom.operators import cells, dedup, fuzzy, reads
+
 FLAGSHIP = "linear_dedup"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def keep(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def exact_lookup(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+
+
+def damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers with the name of their nation, less one letter."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    at = (F.col("s_suppkey") % F.length("n_name")).cast("int")
+    return s.select("s_suppkey", F.concat(F.substr("n_name", F.lit(1), at), F.substr("n_name", at + 2)).alias("damaged"))
+
+
+DAMAGED = "d AS (SELECT s_suppkey, substr(n_name, 1, CAST(s_suppkey % length(n_name) AS INT)) || substr(n_name, CAST(s_suppkey % length(n_name) AS INT) + 2) AS damaged FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+KMERS = "p AS (SELECT DISTINCT damaged, n_name, levenshtein(damaged, n_name) AS distance FROM d, nation WHERE levenshtein(damaged, n_name) <= 2 AND abs(length(damaged) - length(n_name)) <= 2 AND length(damaged) >= 4 AND length(n_name) >= 4 AND list_has_any([substr(damaged, i, 4) FOR i IN range(1, length(damaged) - 2)], [substr(n_name, i, 4) FOR i IN range(1, length(n_name) - 2)]))"
+
+
+@query(f"WITH {DAMAGED}, {KMERS} SELECT s_suppkey, p.damaged, n_name, CAST(distance AS INT) AS distance FROM d JOIN p ON d.damaged = p.damaged")
+def kmer_fuzzy_lookup(spark, sf):
+    rows = damaged(spark, sf)
+    return rows.join(fuzzy.fuzzy_lookup(rows, table(spark, sf, "nation"), "damaged", "n_name", 2), "damaged").select("s_suppkey", "damaged", "n_name", F.col("distance").cast("int").alias("distance"))
+
+
+@query(f"WITH {DAMAGED}, {KMERS}, m AS (SELECT damaged, n_name, distance, min(distance) OVER (PARTITION BY damaged) AS least FROM p) SELECT damaged, CASE WHEN count(*) = 1 THEN min(n_name) END AS n_name, CAST(min(distance) AS INT) AS distance FROM m WHERE distance = least GROUP BY damaged")
+def fuzzy_best_unique(spark, sf):
+    rows = damaged(spark, sf)
+    best = fuzzy.best_unique(fuzzy.fuzzy_lookup(rows, table(spark, sf, "nation"), "damaged", "n_name", 2), "damaged", "n_name")
+    return best.select("damaged", "n_name", F.col("distance").cast("int").alias("distance"))
+
+
+@query(f"WITH {DAMAGED}, {KMERS} SELECT CAST(distance AS INT) AS distance, count(*) AS n FROM p GROUP BY distance")
+def edit_distance_hist(spark, sf):
+    return fuzzy.fuzzy_lookup(damaged(spark, sf), table(spark, sf, "nation"), "damaged", "n_name", 2).groupBy(F.col("distance").cast("int").alias("distance")).agg(F.count("*").alias("n"))
+
+
+@query("WITH e AS (SELECT DISTINCT p_brand || ' ' || p_type AS x FROM part) SELECT a.x AS a, b.x AS b, CAST(levenshtein(a.x, b.x) AS INT) AS distance FROM e a JOIN e b ON a.x < b.x AND levenshtein(a.x, b.x) <= 2")
+def whitelist_close_pairs(spark, sf):
+    entries = table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("x"))
+    return fuzzy.close_pairs(entries, "x", 2).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query("SELECT length(regexp_extract(substr(text, 2), '^[n]*')) AS run_length, count(*) AS n FROM documents GROUP BY 1")
+def run_length(spark, sf):
+    return table(spark, sf, "documents").groupBy(S.run_length(F.col("text"), F.lit(1), "n").cast("long").alias("run_length")).agg(F.count("*").alias("n"))
+
+
+SHIFT = "CASE WHEN regexp_matches(r, '^e') THEN 0 WHEN regexp_matches(r, '^[^e]ee') THEN 1 WHEN regexp_matches(r, '^[^e][^e]ee') THEN 2 END"
+
+
+@query(f"WITH t AS (SELECT doc_id, substr(text, 11) AS r FROM documents), s AS (SELECT doc_id, r, {SHIFT} AS k FROM t) SELECT doc_id, CAST(10 + coalesce(k, 0) AS INT) AS run_start, CAST(10 + coalesce(k + length(regexp_extract(substr(r, k + 1), '^e+(?:[^e]e{{2,}})?')), 0) AS INT) AS run_end FROM s")
+def anchor_run_shift(spark, sf):
+    run = S.anchor_run(F.col("text"), F.lit(10), "e", 2)
+    return table(spark, sf, "documents").select("doc_id", run["start"].alias("run_start"), run["end"].alias("run_end"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 50 + 11 <= length(text) THEN substr(text, doc_id % 50 + 4, 8) END AS value, CASE WHEN doc_id % 50 + 11 <= length(text) THEN CAST(doc_id % 50 + 3 AS INT) ELSE -1 END AS start_at, doc_id % 50 + 11 > length(text) AS truncated FROM documents")
+def span_slice(spark, sf):
+    d = table(spark, sf, "documents").withColumn("_u", S.umi_slice(F.col("text"), (F.col("doc_id") % 50).cast("int"), 3, 8))
+    return d.select("doc_id", F.col("_u.value").alias("value"), F.coalesce("_u.start", F.lit(-1)).alias("start_at"), F.col("_u").isNull().alias("truncated"))
+
+
+@query("WITH c AS (SELECT CASE WHEN doc_id % 900 >= length(text) THEN 'dropped' WHEN lang = 'en' THEN 'matched' ELSE 'none' END AS arm FROM documents) SELECT arm, count(*) AS n FROM c GROUP BY arm")
+def insert_drop(spark, sf):
+    cut = F.col("doc_id") % 900
+    return table(spark, sf, "documents").groupBy(F.when(cut >= F.length("text"), "dropped").when(F.col("lang") == "en", "matched").otherwise("none").alias("arm")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^?&#]*') AS read_id, CASE WHEN contains(url, 'utm_source=') THEN regexp_extract(url, 'utm_source=([^&#]*)', 1) END AS utm_source, CASE WHEN contains(url, 'page=') THEN regexp_extract(url, 'page=([^&#]*)', 1) END AS page, CASE WHEN contains(url, 'ref=') THEN regexp_extract(url, 'ref=([^&#]*)', 1) END AS ref FROM pages")
+def header_tags(spark, sf):
+    parsed = headers.parse(F.regexp_replace("url", "[?&#]", " "))
+    rows = table(spark, sf, "pages").select("page_id", parsed.alias("h"))
+    return rows.select("page_id", F.col("h.read_id").alias("read_id"), *(headers.tag(F.col("h.tags"), k).alias(k) for k in ("utm_source", "page", "ref")))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^?&#]*') || CASE WHEN contains(url, '#') THEN ' top' ELSE '' END || coalesce(' ' || nullif(replace(regexp_extract(url, '[?]([^#]*)', 1), '&', ' '), ''), '') || ' seen=1' AS header FROM pages")
+def header_render(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", headers.parse(F.regexp_replace("url", "[?&#]", " ")).alias("h"))
+    return rows.select("page_id", headers.render(F.col("h.read_id"), F.col("h.passthrough"), headers.with_tag(F.col("h.tags"), "seen", F.lit("1"))).alias("header"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus || CAST(l_suppkey AS VARCHAR) AS full_key FROM lineitem")
+def full_key_concat(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string")).alias("full_key"))
+
+
+@query("WITH g AS (SELECT l_partkey, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first_at FROM lineitem GROUP BY l_partkey) SELECT l_partkey, n, row_number() OVER (ORDER BY n DESC, first_at, l_partkey) AS rank FROM g")
+def key_counts_ranked(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_at"))
+    return cells.ranked(rows, [F.desc("n"), F.asc("first_at"), F.asc("l_partkey")]).select("l_partkey", "n", "rank")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_shipdate, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_shipdate ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def linear_dedup(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice")
+    return dedup.best_of_group(rows, ["l_suppkey", "l_returnflag", "l_shipdate"], F.col("l_extendedprice"), [F.asc("l_orderkey"), F.asc("l_linenumber")])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders SEMI JOIN (SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_shipdate ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1) w ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
+def winner_semi_join(spark, sf):
+    winners = linear_dedup(spark, sf).select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").where("o_orderstatus = 'F'").join(winners, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+EVENTS = "SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_id % 2 END AS ub FROM events"
+
+
+def event_keys(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), F.when(F.col("user_id") % 3 != 0, F.col("event_id") % 2).alias("ub"))
+
+
+@query(f"WITH e AS ({EVENTS}) SELECT event_id, CAST(CASE WHEN row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) = 1 THEN 0 ELSE 1 END AS INT) AS DU FROM e")
+def tag_dedup(spark, sf):
+    return dedup.first_seen(event_keys(spark, sf), ["user_id", "event_type", "day"], "event_id").select("event_id", "DU")
+
+
+@query(f"WITH e AS ({EVENTS}) SELECT event_id, CAST(CASE WHEN row_number() OVER (PARTITION BY user_id, event_type, day, ub ORDER BY event_id) = 1 THEN 0 ELSE 1 END AS INT) AS DU FROM e")
+def umi_tag_dedup(spark, sf):
+    return dedup.first_seen(event_keys(spark, sf), ["user_id", "event_type", "day", "ub"], "event_id").select("event_id", "DU")
+
+
+@query(f"WITH e AS ({EVENTS}), f AS (SELECT row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) AS r FROM e) SELECT count(*) FILTER (r = 1) AS unique_reads, count(*) FILTER (r > 1) AS duplicate_reads FROM f")
+def unique_duplicate_counts(spark, sf):
+    return dedup.unique_counts(tag_dedup(spark, sf))
+
+
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+def read_barcode_left_join(spark, sf):
+    known = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return table(spark, sf, "orders").join(known, "o_custkey", "left").select("o_orderkey", "c_name")
+
+
+@query("WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS read_id, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT CAST(o_custkey AS VARCHAR) AS read_id, o_orderpriority AS seq2, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT a.ord, a.read_id, b.seq2 FROM a JOIN b ON a.read_id = b.read_id AND a.k = b.k")
+def ordered_pair_join(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("seq"), F.col("o_orderstatus").alias("qual"))
+    thin = orders.where("ord % 3 <> 0").select(F.col("name").alias("read_id"), "ord")
+    return reads.paired(thin, orders).select("ord", "read_id", "seq2")
+
+
+INTERVALS = "r AS (SELECT o_orderkey, o_orderstatus AS chrom, o_custkey AS a, o_custkey + o_orderkey % 20 + 1 AS b FROM orders), q AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS chrom, s_suppkey * 13 AS c, s_suppkey * 13 + 40 AS d FROM supplier)"
+
+
+def interval_tables(spark, sf):
+    left = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("chrom"), F.col("o_custkey").alias("start"), (F.col("o_custkey") + F.col("o_orderkey") % 20 + 1).alias("end"))
+    k = F.col("s_suppkey")
+    right = table(spark, sf, "supplier").select("s_suppkey", F.when(k % 3 == 0, "F").when(k % 3 == 1, "O").otherwise("P").alias("chrom"), (k * 13).alias("start2"), (k * 13 + 40).alias("end2"))
+    return left, right
+
+
+@query(f"WITH {INTERVALS} SELECT o_orderkey, s_suppkey, least(b, d) - greatest(a, c) AS shared FROM r JOIN q ON r.chrom = q.chrom AND least(b, d) - greatest(a, c) >= 3")
+def interval_overlap(spark, sf):
+    left, right = interval_tables(spark, sf)
+    shared = S.overlap(F.col("start"), F.col("end"), F.col("start2"), F.col("end2"))
+    return cells.overlaps(left, right, 64, 3, "chrom").select("o_orderkey", "s_suppkey", shared.alias("shared"))
+
+
+@query(f"WITH {INTERVALS} SELECT s_suppkey AS peak, o_orderkey % 50 AS barcode, count(*) AS n FROM r JOIN q ON r.chrom = q.chrom AND least(b, d) - greatest(a, c) >= 1 GROUP BY ALL")
+def peak_barcode_overlaps(spark, sf):
+    left, right = interval_tables(spark, sf)
+    return cells.overlaps(left, right, 64, 1, "chrom").groupBy(F.col("s_suppkey").alias("peak"), (F.col("o_orderkey") % 50).alias("barcode")).agg(F.count("*").alias("n"))
+
+
+COO = "coo AS (SELECT event_type AS peak, CAST(user_id AS VARCHAR) AS barcode, count(*) AS n FROM events GROUP BY ALL)"
+
+
+def coo(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("peak"), F.col("user_id").cast("string").alias("barcode")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {COO} SELECT * FROM coo")
+def peak_barcode_coo(spark, sf):
+    return coo(spark, sf)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS barcode, count(user_id) AS n FROM customer LEFT JOIN (SELECT user_id FROM events WHERE event_type = 'purchase') ON c_custkey = user_id GROUP BY 1")
+def column_sums(spark, sf):
+    bought = coo(spark, sf).where("peak = 'purchase'")
+    return cells.column_sums(bought, table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("barcode")))
+
+
+SUMS = f"{COO}, sums AS (SELECT barcode, CAST(sum(n) AS BIGINT) AS n FROM coo GROUP BY barcode)"
+
+
+def sums(spark, sf):
+    return coo(spark, sf).groupBy("barcode").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {SUMS} SELECT barcode, n, row_number() OVER (ORDER BY n DESC, barcode) AS rank FROM sums WHERE n > 0")
+def rank_curve(spark, sf):
+    return cells.rank_curve(sums(spark, sf), "n", "barcode").select("barcode", "n", "rank")
+
+
+@query(f"WITH {SUMS} SELECT barcode, n FROM sums ORDER BY n DESC, barcode LIMIT 25")
+def top_n_cells(spark, sf):
+    return cells.top_cells(sums(spark, sf), 25)
+
+
+@query(f"WITH {SUMS}, top AS (SELECT barcode FROM sums ORDER BY n DESC, barcode LIMIT 3) SELECT DISTINCT peak FROM coo SEMI JOIN top USING (barcode)")
+def selected_features(spark, sf):
+    return cells.selected_features(coo(spark, sf), cells.top_cells(sums(spark, sf), 3))
+
+
+@query(f'WITH {SUMS}, top AS (SELECT barcode FROM sums ORDER BY n DESC, barcode LIMIT 25), c AS (SELECT barcode, row_number() OVER (ORDER BY barcode) AS col FROM top), r AS (SELECT peak, row_number() OVER (ORDER BY peak) AS "row" FROM (SELECT DISTINCT peak FROM coo SEMI JOIN top USING (barcode))) SELECT "row", col, n FROM coo JOIN r USING (peak) JOIN c USING (barcode)')
+def matrix_slice(spark, sf):
+    grid, top = coo(spark, sf), cells.top_cells(sums(spark, sf), 25)
+    return cells.matrix_slice(grid, cells.selected_features(grid, top), top)
+
+
+@query("WITH k AS (SELECT count(DISTINCT user_id) AS n FROM events), i AS (SELECT n, unnest(range(1, 11)) AS i FROM k) SELECT DISTINCT CAST(CASE WHEN n <= 12 THEN NULL ELSE least(greatest(round_even(exp(ln(n) * i / 11), 0), 2), n - 1) END AS BIGINT) AS rank FROM i UNION SELECT 1 UNION SELECT n FROM k")
+def log_spaced_ranks(spark, sf):
+    curve = cells.rank_curve(sums(spark, sf), "n", "barcode")
+    return numbers.sampled_ranks(curve, curve.count(), 12).select("rank")
+
+
+@query("SELECT l_shipmode AS barcode, count(*) AS count FROM (SELECT l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1")
+def split_counts(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("CB"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return cells.split_counts(rows)
+
+
+@query("WITH b AS (SELECT unnest(['en', 'de', 'fr', 'es', 'xx']) AS bucket) SELECT bucket, count(doc_id) AS n FROM b LEFT JOIN documents ON lang = bucket GROUP BY bucket")
+def bucket_router(spark, sf):
+    return reads.bucket_counts(table(spark, sf, "documents"), "lang", ["en", "de", "fr", "es", "xx"])
+
+
+@query("SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS matched, count(*) FILTER (o_orderstatus = 'O') AS no_match, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS matched_fraction FROM orders GROUP BY 1")
+def outcome_breakdown(spark, sf):
+    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    grouped = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("total"), n("F").alias("matched"), n("O").alias("no_match"))
+    return grouped.withColumn("matched_fraction", F.round(numbers.fraction(F.col("matched"), F.col("total")), 6))
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+def md5_check(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query("SELECT s_suppkey, s_name, CAST(levenshtein(s_name, 'Supplier#000000050') AS INT) AS distance, CAST(hamming(s_name, left('Supplier#000000050', length(s_name))) AS INT) AS hamming FROM supplier")
+def wildcard_distance(spark, sf):
+    s = table(spark, sf, "supplier")
+    other = F.lit("Supplier#000000050")
+    return s.select("s_suppkey", "s_name", S.edit_distance(F.col("s_name"), other).alias("distance"), S.hamming(F.col("s_name"), F.left(other, F.length("s_name"))).alias("hamming"))
+
+
+@query("SELECT n_name, count(DISTINCT v) AS n FROM (SELECT n_name, unnest(list_concat([n_name], [substr(n_name, 1, i - 1) || substr(n_name, i + 1) FOR i IN range(1, length(n_name) + 1)])) AS v FROM nation) GROUP BY n_name")
+def deletion_variants(spark, sf):
+    return table(spark, sf, "nation").select("n_name", F.size(S.deletions(F.col("n_name"), 1)).cast("long").alias("n"))
+
+
+@query()
+def knee_point(spark, sf):
+    """The rank and value at the knee of the users' counts; log-spaced ranks bound what the driver gets."""
+    curve = cells.rank_curve(sums(spark, sf), "n", "barcode")
+    rows = numbers.sampled_ranks(curve, curve.count(), 1000).orderBy("rank").select("rank", "n").collect()
+    at = cells.knee([r.n for r in rows])
+    return spark.createDataFrame([(rows[at[0] - 1]["rank"], at[1])] if at else [], "rank long, n long")
+
+
+def synthetic_reads(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """A read for each order: barcodes of a small whitelist by its keys, some with an error, UMI, anchor, target and insert."""
+    entries = ["ACGTTGCAAC", "TTGACCGATA", "GGCATTACGA", "CATGGTCTAC", "AGTCCAGTTG", "TCAGATCGGA"]
+    pick = lambda c: F.element_at(F.array(*map(F.lit, entries)), (c % len(entries)).cast("int") + 1)
+    orders = table(spark, sf, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    hurt = F.when(key % 7 == 0, F.concat(F.lit("N"), F.substr(pick(cust), F.lit(2)))).otherwise(pick(cust))
+    bases = F.substr(F.translate(F.md5(key.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), F.lit(28))
+    seq = F.concat(hurt, F.lit("TGTGTATAAGGACCTCGTTGCC"), pick(key), F.lit("ATGGAAGCCGACGAATTAGACC"), pick(key + cust), F.left(bases, F.lit(8)), F.lit("GGGGGG"), F.when(key % 5 == 0, "CCAACCAA").otherwise("TATAGCCT"), F.lit("AGATGTGTATAAGAGACAG"), bases)
+    return orders.select(key.alias("ord"), F.concat(F.lit("r"), key.cast("string"), F.lit(" 1:N:0")).alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual")), entries
+
+
+PICK = "['ACGTTGCAAC', 'TTGACCGATA', 'GGCATTACGA', 'CATGGTCTAC', 'AGTCCAGTTG', 'TCAGATCGGA']"
 
 
-def queries() -> dict:
-    return {}
+@query(f"SELECT o_orderkey AS ord, {PICK}[o_custkey % 6 + 1] || {PICK}[o_orderkey % 6 + 1] || {PICK}[(o_orderkey + o_custkey) % 6 + 1] AS full_barcode, o_orderkey % 7 <> 0 AS perfect, CASE WHEN o_orderkey % 5 = 0 THEN 'NONE' ELSE 'TATAGCCT' END AS target, translate(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS umi FROM orders WHERE NOT regexp_matches(translate(substr(md5(CAST(o_orderkey AS VARCHAR)), 8, 1), '0123456789abcdef', 'ACGTACGTACGTACGT'), 'G')")
+def barcode_cascade(spark, sf):
+    """Barcodes, UMI and target of each synthetic read whose UMI doesn't run into its anchor."""
+    from dataclasses import replace
 
+    from strandloom.plans.chemistry import chemistry
 
-def oracle_sql() -> dict:
-    return {}
+    rows, entries = synthetic_reads(spark, sf)
+    base = chemistry("custom_seq_1_0")
+    kit = replace(base, whitelists=base.whitelists | dict.fromkeys(("BC1", "BC2", "BC3"), tuple(entries)))
+    found = reads.with_targets(reads.with_umis(reads.extracted(rows, kit), kit), kit)
+    return found.where(F.substr("umi.value", F.lit(8), F.lit(1)) != "G").select("ord", "full_barcode", "perfect", "target", F.col("umi.value").alias("umi"))
