@@ -99,7 +99,7 @@ class Exact:
     def __init__(self, chemistry: Chemistry, component: Component, budget: int):
         self.component, self.entries = component, frozenset(chemistry.whitelist(component.name))
 
-    def match(self, read: str, start_idx: int = 0) -> list[Attempt]:
+    def tried(self, read: str, floor: int = 0) -> list[Attempt]:
         c = self.component
         if c.start is None:
             raise ValueError(f"the layout doesn't place {c.name}")
@@ -114,24 +114,24 @@ class Kmer:
 
     def __init__(self, chemistry: Chemistry, component: Component, budget: int):
         self.component, self.budget, self.place = component, budget, Place(chemistry, component, budget)
-        self.seeds: dict[str, list[tuple[str, int]]] = {}
+        self.seeds: dict[str, list] = {}  # of each k-mer, the (entry, place)s that have it
         for entry in chemistry.whitelist(component.name):
             for j in range(len(entry) - K + 1):
                 self.seeds.setdefault(entry[j : j + K], []).append((entry, j))
 
-    def candidates(self, read: str, start_idx: int = 0) -> set[tuple[str, int, int, int]]:
+    def candidates(self, read: str, floor: int = 0) -> set[tuple[str, int, int, int]]:
         if len(read) < K:
             raise ValueError(f"a read of {len(read)} bases has no seed of {K}")
         low, high = self.place.window(read)
         # Seeds that could only extend to windows outside the component's region aren't looked up.
         reach = self.budget + max((len(e) for es in self.seeds.values() for e, _ in es), default=0)
-        starts = {(e, i - j) for i in range(max(start_idx, low - reach), min(len(read) - K, high + reach) + 1) for e, j in self.seeds.get(read[i : i + K], ())}
+        starts = {(e, i - j) for i in range(max(floor, low - reach), min(len(read) - K, high + reach) + 1) for e, j in self.seeds.get(read[i : i + K], ())}
         found = {(e, *w) for e, at in starts if (w := best_window(read, e, at, self.budget))}
         return {x for x in found if x[1] >= low and x[2] <= high}
 
-    def match(self, read: str, start_idx: int = 0) -> list[Attempt]:
+    def tried(self, read: str, floor: int = 0) -> list[Attempt]:
         name, nothing = self.component.name, [Attempt(self.component.name, KMER)]
-        found = self.candidates(read, start_idx)
+        found = self.candidates(read, floor)
         least = min((x[3] for x in found), default=0)
         best = sorted(x for x in found if x[3] == least)
         if not best:
@@ -197,10 +197,10 @@ class Align:
             by_length.setdefault(len(e), []).append(e)
         self.groups = [(es, np.array([list(e.encode()) for e in es], np.uint8)) for es in by_length.values()]
 
-    def match(self, read: str, start_idx: int = 0) -> list[Attempt]:
+    def tried(self, read: str, floor: int = 0) -> list[Attempt]:
         name, nothing = self.component.name, [Attempt(self.component.name, ALIGN)]
         low, high = self.place.window(read)
-        low = max(low, min(start_idx, len(read)))
+        low = max(low, min(floor, len(read)))
         window = "".join(c if c in "ACGTN" else "N" for c in read[low:high])
         found = []
         for entries, codes in self.groups if window else ():
@@ -241,7 +241,7 @@ class Cascade:
             for c in self.components:
                 if c.name not in ended:
                     at = before if before < len(read) - c.size else 0
-                    tried = tier[c.name].match(read, at)
+                    tried = tier[c.name].tried(read, at)
                     attempts[c.name] += tried
                     if len(tried) > 1:
                         ended[c.name] = None

@@ -113,7 +113,7 @@ def with_targets(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
                 known = {None: None}
             values = column.to_pylist()
             for w in set(values) - known.keys():
-                tried = matcher.match(w)
+                tried = matcher.tried(w)
                 known[w] = {k: getattr(tried[0], k) for k in ("match", "start", "end", "distance")} if len(tried) == 1 and tried[0].match else None
             yield pa.array([known[w] for w in values], kind)
 

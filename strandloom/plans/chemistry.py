@@ -25,11 +25,11 @@ class Component:
     name: str
     kind: Kind
     length: int | None = None
-    sequence: str | None = None
-    verify: bool = True
     base: str | None = None
     min_run: int | None = None
+    sequence: str | None = None
     start: int | None = None
+    verify: bool = True
 
     def __post_init__(self) -> None:
         if self.kind is Kind.HOMOPOLYMER:
@@ -109,7 +109,7 @@ class Chemistry:
     def first(self, kind: Kind) -> Component | None:
         return next(iter(self.layout.of(kind)), None)
 
-    def drift(self) -> dict[str, int | None]:
+    def drift(self) -> dict:
         """How far each component may have moved: the budgets of all before it, None after one without a fixed length."""
         share = {Kind.BARCODE: self.errors.barcode, Kind.PRIMER: self.errors.spacer, Kind.OTHER: self.errors.spacer, Kind.TARGET: self.errors.target}
         out, total = {}, 0

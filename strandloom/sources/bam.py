@@ -71,8 +71,8 @@ class Bytes:
         return self.held[self.at - n : self.at]
 
 
-def read_header(data: Bytes) -> tuple[str, list[tuple[str, int]]]:
-    """(text, references with their lengths)."""
+def read_header(data: Bytes) -> tuple[str, list]:
+    """The text, and (name, length) of each reference."""
     if data.take(4) != b"BAM\1":
         raise ValueError("no BAM file")
     text = data.take(struct.unpack("<i", data.take(4))[0]).rstrip(b"\0").decode()

@@ -68,8 +68,8 @@ def opened(path: str):
     return open(path, "rb")
 
 
-def records(piece: Piece, lines: int = 4) -> Iterator[tuple[str, ...]]:
-    """The records of a piece, without @ and separators; an incomplete last one is left out, a corrupt stream raises."""
+def records(piece: Piece, lines: int = 4) -> Iterator[tuple]:
+    """Names, sequences and qualities of a piece, without @ and separators; an incomplete last one is left out, a corrupt stream raises."""
     with opened(piece.path) as f:
         stream = f if hasattr(f, "readline") and not isinstance(f, pa.NativeFile) else iter_lines(f)
         at = 0

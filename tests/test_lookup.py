@@ -46,7 +46,7 @@ def test_bad_components(bad):
 
 def test_close_pairs_against_all_pairs():
     rng = random.Random(5)
-    entries = tuple({"".join(rng.choice("ACGT") for _ in range(5)) for _ in range(60)})
+    entries = tuple({"".join(rng.choices("ACGT", k=5)) for _ in range(60)})
     want = sorted((a, b, C.distance(a, b)) for a in entries for b in entries if a < b and C.distance(a, b) <= 2)
     assert C.close_pairs(entries, 2) == want
     near = replace(kit(), whitelists={**kit().whitelists, "BC1": ("ACGTTGCAAC", "ACGTTGCAAT")})
@@ -59,8 +59,8 @@ def test_close_pairs_against_all_pairs():
 def test_best_window_against_all_windows():
     rng = random.Random(7)
     for _ in range(200):
-        seq = "".join(rng.choice("ACGTN") for _ in range(30))
-        entry, at, budget = "".join(rng.choice("ACGT") for _ in range(8)), rng.randint(0, 22), rng.randint(0, 2)
+        seq = "".join(rng.choices("ACGTN", k=30))
+        entry, at, budget = "".join(rng.choices("ACGT", k=8)), rng.randint(0, 22), rng.randint(0, 2)
         found = []
         for s in range(max(0, at - budget), min(len(seq) - 1, at + budget) + 1):
             for n in range(max(1, 8 - budget), 8 + budget + 1):
@@ -72,7 +72,7 @@ def test_best_window_against_all_windows():
 def test_local_alignment_against_plain_recursion():
     rng = random.Random(11)
     for _ in range(40):
-        a, b = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (rng.randint(3, 12), 6))
+        a, b = ("".join(rng.choices("ACGT", k=n)) for n in (rng.randint(3, 12), 6))
         m, x, y = (np.full((len(a) + 1, 7), -1e9) for _ in range(3))
         best = 0.0
         for i in range(1, len(a) + 1):
