@@ -15,7 +15,23 @@ from strandloom.llm.common import slices, table, utf8
 
 #: Names and wordings of public licences and notices. A block is compared with each.
 TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT": " ".join(
+        (
+            "Permission is hereby granted, free of charge,",
+            "to any person obtaining a copy of",
+            "this software and associated documentation files (the",
+            "\"Software\"), to deal in the Software without",
+            "restriction, including without limitation the rights to",
+            "use, copy, modify, merge, publish, distribute, sublicense,",
+            "and/or sell copies of the Software, and",
+            "to permit persons to whom the Software",
+            "is furnished to do so, subject to",
+            "the following conditions: The above copyright notice",
+            "and this permission notice shall be included",
+            "in all copies or substantial portions of",
+            "the Software.",
+        )
+    ),
     "MIT-notice": "Released under the MIT License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",

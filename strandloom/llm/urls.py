@@ -47,7 +47,7 @@ def entropy(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def suffixes(host: str, path: str) -> tuple[str, str, str]:
+def suffixes(host: str, path: str) -> tuple:
     """What block rates are kept of: the last label, the last two, and the path's first segment."""
     labels = host.split(".")
     return labels[-1], ".".join(labels[-2:]), "/" + path[1:].partition("/")[0]
