@@ -17,6 +17,13 @@ def percent(part: int, whole: int) -> str:
     return f"{(part / whole if whole else 0):.2%}"
 
 
+def duration(seconds: float) -> str:
+    """Hours, minutes and seconds, without leading parts of zero."""
+    minutes, rest = divmod(round(seconds), 60)
+    hours, minutes = divmod(minutes, 60)
+    return f"{hours}h {minutes}m {rest}s" if hours else f"{minutes}m {rest}s" if minutes else f"{rest}s"
+
+
 def log_spaced_ranks(n: int, points: int = 300) -> list[int]:
     """Ranks 1 to n, at most ``points`` of them evenly spaced in the logarithm; the first and the last are always there."""
     if n <= points:

@@ -124,6 +124,16 @@ def matrix_slice(cells: DataFrame, rows: DataFrame, columns: DataFrame, feature:
     return cells.join(r, feature).join(c, column).select("row", "col", "n")
 
 
+def cell_value(cells: DataFrame, feature: str, column: str, features: DataFrame, columns: DataFrame, names: tuple = ("peak", "barcode")) -> int:
+    """The count of one cell, 0 if it has none. A name that isn't text, or isn't in its dimension, raises."""
+    for value, known, name in ((feature, features, names[0]), (column, columns, names[1])):
+        if not isinstance(value, str):
+            raise TypeError(f"{name} isn't text")
+        if known.where(F.col(name) == value).isEmpty():
+            raise ValueError(f"no {name} {value}")
+    return cells.where((F.col(names[0]) == feature) & (F.col(names[1]) == column)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def matrix_lines(cells: DataFrame, rows: int, columns: int, comment: str = "peaks by barcodes") -> DataFrame:
     """MatrixMarket coordinate lines as (ord, value): a head of three, then one line a cell."""
     head = cells.agg(F.count("*").alias("n")).select(F.explode(F.array(

@@ -88,5 +88,11 @@ def tagged(records: DataFrame, barcodes: DataFrame, umis: DataFrame | None = Non
     return first_seen(placed, keys, "ord")
 
 
+def checked_flag(value: Column) -> Column:
+    """A duplicate flag as a whole number; anything but 0 or 1 raises."""
+    number = value.try_cast("int")
+    return F.when(number.isin(0, 1), number).otherwise(F.raise_error(F.concat(F.lit("no duplicate flag: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("int"))
+
+
 def unique_counts(rows: DataFrame, flag: str = "DU") -> DataFrame:
     return rows.agg(F.count_if(F.col(flag) == 0).alias("unique_reads"), F.count_if(F.col(flag) == 1).alias("duplicate_reads"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from strandloom.functions.headers import position_key
+from strandloom.functions.sequences import MAX_LEADING
+
+
+#: Targets from which on a chance match is likely.
+MANY_TARGETS = 4
 
 
 class Kind(Enum):
@@ -150,13 +156,26 @@ class Chemistry:
         missing = [c.name for c in self.barcodes if not self.whitelists.get(c.name)]
         if missing:
             raise KeyError(f"no whitelist for {missing}")
-        said = []
+        said = self.check_targets()
         for c in self.layout.of(Kind.BARCODE, Kind.TARGET):
             budget = self.errors.target if c.kind is Kind.TARGET else self.errors.barcode
             close = [p for p in close_pairs(self.whitelists.get(c.name, ()), budget) if frozenset(p[:2]) not in self.exempt]
             said += [f"{c.name}: {a} and {b} are {d} edits apart" for a, b, d in close]
-        if said and self.enforce:
-            raise ValueError("; ".join(said))
+        close = [x for x in said if "edits apart" in x]
+        if close and self.enforce:
+            raise ValueError("; ".join(close))
+        return said
+
+    def check_targets(self) -> list[str]:
+        """Raises for a target that begins with more of its anchor's base than a window allows for; says if there are many."""
+        said = []
+        for c in self.layout.of(Kind.TARGET):
+            anchor, entries = self.layout.beside(c.name, -1), self.whitelists.get(c.name, ())
+            for e in entries:
+                if anchor is not None and anchor.kind is Kind.HOMOPOLYMER and e.startswith(anchor.base * (MAX_LEADING + 1)):
+                    raise ValueError(f"{c.name}: {e} begins with over {MAX_LEADING} bases of its anchor")
+            if len(entries) > MANY_TARGETS:
+                said.append(f"{c.name}: with {len(entries)} targets, reads without one are often given one")
         return said
 
 
@@ -171,13 +190,13 @@ def distance(a: str, b: str) -> int:
 
 def close_pairs(entries: tuple[str, ...], budget: int) -> list[tuple[str, str, int]]:
     """Pairs of entries at most ``budget`` edits apart, found among those that share a text with as many deletions."""
-    buckets: dict[str, set[str]] = {}
+    buckets = defaultdict(set)
     for e in set(entries):
         found = {e}
         for _ in range(budget):
             found |= {s[:i] + s[i + 1 :] for s in found for i in range(len(s))}
         for s in found:
-            buckets.setdefault(s, set()).add(e)
+            buckets[s].add(e)
     pairs = {(a, b) for group in buckets.values() for a in group for b in group if a < b}
     return sorted((a, b, d) for a, b in pairs if (d := distance(a, b)) <= budget)
 

@@ -225,6 +225,13 @@ def bam_header(path: str) -> tuple[str, list[tuple[str, int]]]:
         return read_header(Bytes(inflated(f)))
 
 
+def index_of(path: str) -> str:
+    """The path of a file's index, which must be there; plans here don't need it."""
+    if not os.path.exists(found := f"{path}.bai"):
+        raise FileNotFoundError(found)
+    return found
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """SAM text as the same rows."""
     from strandloom.sources.tables import numbered_lines

@@ -75,3 +75,7 @@ def test_ranks_and_fractions(spark):
     many = numbers.log_spaced_ranks(10_000, 50)
     assert many[0] == 1 and many[-1] == 10_000 and many == sorted(set(many)) and len(many) <= 50
     assert numbers.percent(1, 0) == "0.00%" and one(spark, x=numbers.fraction(F.lit(1), F.lit(0))).x == 0.0
+
+
+def test_durations():
+    assert [numbers.duration(x) for x in (5, 65, 3725)] == ["5s", "1m 5s", "1h 2m 5s"]

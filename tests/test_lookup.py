@@ -135,3 +135,10 @@ def test_wrong_calls_stay_rare():
         called += len(got) == 3
         wrong += len(got) == 3 and got != want
     assert wrong == 0 and called > 40
+
+
+def test_targets_that_cannot_be_told():
+    lists = kit().whitelists
+    with pytest.raises(ValueError, match="bases of its anchor"):
+        replace(kit(), whitelists={**lists, "TGIDX": ("GGGTACCA",)}).check()
+    assert "5 targets" in replace(kit(), whitelists={**lists, "TGIDX": ("AACCAACC", "TTGGTTAA", "CATCATCA", "ACACGTGT", "TCTCAGAG")}).check()[0]

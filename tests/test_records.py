@@ -195,3 +195,18 @@ def test_whitelists(spark, tmp_path):
 def test_status_lines_as_barcode_table(spark):
     d = spark.createDataFrame([("r 1:N|SUCCESS:PERFECT:ACGT|BC1:EXACTMATCH",)], "value string")
     assert tables.barcodes_from_status(d).first().barcode == "ACGT"
+
+
+def test_single_cells_and_flags(spark, tmp_path):
+    grid = spark.createDataFrame([("p", "b", 3)], "peak string, barcode string, n long")
+    other = spark.createDataFrame([("b",), ("c",)], "barcode string")
+    assert cells.cell_value(grid, "p", "b", grid, other) == 3 and cells.cell_value(grid, "p", "c", grid, other) == 0
+    for bad, kind in ((("q", "b"), ValueError), (("p", 7), TypeError)):
+        with pytest.raises(kind):
+            cells.cell_value(grid, *bad, grid, other)
+    flags = spark.createDataFrame([("0",), ("1",)], "x string")
+    assert [r[0] for r in flags.select(dedup.checked_flag(F.col("x"))).collect()] == [0, 1]
+    with pytest.raises(Exception, match="no duplicate flag: 2"):
+        spark.createDataFrame([("2",)], "x string").select(dedup.checked_flag(F.col("x"))).collect()
+    with pytest.raises(FileNotFoundError):
+        bam.index_of(str(tmp_path / "x.bam"))
