@@ -240,7 +240,7 @@ def hydrop() -> Chemistry:
 
 @register("custom_seq_1_0")
 def custom_seq() -> Chemistry:
-    return Chemistry("custom_seq_1_0", Layout(custom_parts()), Errors(1, 2, 1), {"TGIDX": ("TATAGCCT",)}, enforce=True, exempt=frozenset({frozenset({"AGCTTGAGAG", "GGCTTGAGAG"})}))
+    return Chemistry("custom_seq_1_0", Layout(custom_parts()), Errors(1, 2, 1), {"TGIDX": ("TATAGCCT",)}, enforce=True, exempt=frozenset([frozenset(("AGCTTGAGAG", "GGCTTGAGAG"))]))
 
 
 @register("custom_seq_1_0_primd")
