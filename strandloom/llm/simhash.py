@@ -25,8 +25,12 @@ LEAF = 48
 HOT = 100_000
 #: Wide sketches: smallest shingle hashes that place a text into shards, counters and bits.
 ANCHORS, COUNTERS, BITS = 8, 4096, 1024
-#: A wide sketch counts as similar from this much under the asked similarity, two standard errors of its estimate.
-TOLERANCE = 0.05
+#: Sketches make candidates from this much under the asked similarity, three standard errors of their estimate.
+TOLERANCE = 0.08
+#: Candidates' groups of more texts are dealt out again by their anchors; rows that are compared at once.
+EXACT, TILE = 4096, 1024
+#: Candidates that are broadcast to fetch their texts, at most; more are joined by a shuffle.
+FETCH = 200_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -271,14 +275,67 @@ def normal(text: str) -> "F.Column":
     return F.md5(F.trim(F.regexp_replace(folded, r"[\x20\x09-\x0D]+", " ")).cast("binary"))
 
 
+def tile_links(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two lists of different shingle hashes whose Jaccard similarity is at least as asked, exactly."""
+    flat = [np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (a, b)]
+    rows = [np.repeat(np.arange(len(x)), [len(h) for h in x]) for x in (a, b)]
+    common = np.intersect1d(*flat)
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(common), 4096):
+        part = common[at : at + 4096]
+        dense = []
+        for hashes, row, x in zip(flat, rows, (a, b), strict=True):
+            place = np.minimum(np.searchsorted(part, hashes), len(part) - 1)
+            hit = part[place] == hashes
+            m = np.zeros((len(x), len(part)), np.float32)
+            m[row[hit], place[hit]] = 1
+            dense.append(m)
+        shared += dense[0] @ dense[1].T
+    sizes = [np.array([len(h) for h in x], np.float64) for x in (a, b)]
+    return np.nonzero(shared * (1 + similarity) >= similarity * (sizes[0][:, None] + sizes[1][None, :]) - 1e-6)
+
+
+def verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (shard, node, text), in order of their shard, to links (a, b) of nodes whose texts are similar, by their whole shingles."""
+
+    def flush(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        links: list[tuple[int, int]] = []
+        for i in range(0, len(sets), TILE):
+            for j in range(i, len(sets), TILE):
+                a, b = tile_links(sets[i : i + TILE], sets[j : j + TILE], similarity)
+                keep = (a + i) < (b + j)
+                links = spanning(links + list(zip((a[keep] + i).tolist(), (b[keep] + j).tolist(), strict=True)))
+        ends = np.array([(nodes[a], nodes[b]) for a, b in links], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, nodes, sets, seen = None, [], [], set()
+        for batch in batches:
+            for s, n, t in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "text")), strict=True):
+                if s != shard and nodes:
+                    yield flush(nodes, sets)
+                    nodes, sets, seen = [], [], set()
+                shard = s
+                if n not in seen:
+                    seen.add(n)
+                    nodes.append(n)
+                    sets.append(np.unique(shingle_hashes(t, width)))
+        if nodes:
+            yield flush(nodes, sets)
+
+    return run
+
+
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest key (null keys last), whole and unchanged.
 
-    Texts are linked if the wide SimHash sketches of their different shingles of ``width`` words are as near as those of
-    sets with Jaccard similarity ``similarity`` (less TOLERANCE for the sketch's error); groups are what links connect.
-    Linked texts meet in a shard by one of the ANCHORS smallest shingle hashes, which nearly all pairs this similar have
-    in common (all but 0.2**8), and in a shard that is too large by two. Equal words are equal texts: one stands for all.
-    Null and empty texts have no words and are one group. Texts of fewer words have one shingle, all of them.
+    Texts are linked if the Jaccard similarity of their different shingles of ``width`` words is ``similarity`` or more;
+    groups are what links connect. Candidates are texts whose wide SimHash sketches are as near as those of sets that are
+    TOLERANCE less similar; BK-trees find them in shards, in which texts meet by one of the ANCHORS smallest shingle
+    hashes (all pairs this similar have one in common but for 0.2**8 of them), and in a shard that is too large by two.
+    Within what candidates connect, whole shingle sets are compared exactly; a very large group of them is dealt out by
+    its anchors. Equal words are equal texts: one stands for all. Null and empty texts have no words and are one group.
+    Texts of fewer words have one shingle, all of them.
     """
     columns = docs.columns
     tagged = docs.withColumns({"_norm": normal(text), "_row": F.xxhash64(*columns)})
@@ -297,12 +354,26 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     distinct = cut(drawn.groupBy("_norm").agg(best, F.min("print").alias("print"), F.min("anchors").alias("anchors"))).withColumn("node", F.monotonically_increasing_id())
     shards = distinct.select(F.explode("anchors").alias("shard"), "node", "print", "anchors")
     other = F.array_except("anchors", F.array("shard"))
-    roots = connected(link(shards, other, wide_radius(similarity - TOLERANCE)))
+    loose = connected(link(shards, other, wide_radius(similarity - TOLERANCE)))
+
+    names = distinct.select("node", "_norm", "anchors", F.col("best._key").alias("_best"), F.col("best._row").alias("_one"))
+    members = cut(loose.join(names, "node"))
+    large = members.groupBy("root").count().where(F.col("count") > EXACT).select("root", F.lit(True).alias("_large"))
+    dealt = F.when(F.col("_large"), F.transform("anchors", lambda a: F.xxhash64("root", a))).otherwise(F.array("root"))
+    places = members.join(large, "root", "left").select(F.explode(dealt).alias("shard"), "node", F.col("_norm").alias("_named"), "_one", "_best")
+    if members.count() <= FETCH:
+        places = F.broadcast(places)
+    bodies = tagged.select("_norm", "_row", F.col(key).alias("_key"), utf8(text).alias("text"))
+    own = (F.col("_norm") == F.col("_named")) & (F.col("_row") == F.col("_one")) & F.col("_key").eqNullSafe(F.col("_best"))
+    texts = bodies.join(places, own).select("shard", "node", "text")
+    sure = texts.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(verify(width, similarity), "a long, b long")
+    roots = connected(sure)
+
     grouped = distinct.join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
     kept = grouped.groupBy("_group").agg(F.min(F.struct("best", "_norm")).alias("w")).select("w._norm", F.col("w.best._key").alias("_key"), F.col("w.best._row").alias("_row"))
-    same = [tagged["_norm"] == kept["_norm"], tagged["_row"] == kept["_row"], tagged[key].eqNullSafe(kept["_key"])]
-    stay = tagged.join(kept, [*same], "left_semi")
-    return stay.dropDuplicates(["_norm", "_row"]).select(*columns)
+    kept = kept.select(F.col("_norm").alias("_named"), F.col("_key").alias("_best"), F.col("_row").alias("_one"))
+    same = (F.col("_norm") == F.col("_named")) & (F.col("_row") == F.col("_one")) & F.col(key).eqNullSafe(F.col("_best"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["_norm", "_row"]).select(*columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
