@@ -22,8 +22,12 @@ TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
 MAX_TERMS, MIN_LETTERS, MIN_FUZZY = 400, 4, 5
 #: A stem stands for all words that begin with it; it takes so many different words to be one.
 STEM_LETTERS, STEM_WORDS = range(4, 9), 3
+#: Share of a stem's texts that a longer stem must have to stand for it.
+SHARED = 0.9
 #: Words on either side of a hit that its window holds.
 WINDOW = 15
+#: Share of the strongest term's evidence under which a term has to tell texts that no stronger one does.
+WEAK = 0.2
 #: Signs that may replace a letter inside a word.
 INSIDE = "@$*!|"
 #: Log odds of a term that is worth a whole hit; less counts in proportion.
@@ -250,9 +254,20 @@ def lexicon(sample: Sample, rows: np.ndarray) -> dict[str, float]:
     found = {sample.terms[i]: i for i in np.flatnonzero(good).tolist()}
     out: list[str] = []
     for t in sorted((t for t in found if t[-1] == "*"), key=lambda t: (len(t), t)):
-        if not any(t.startswith(x[:-1]) for x in out):
-            out.append(t)
+        if not any(t.startswith(x[:-1]) or x.startswith(t[:-1]) for x in out):
+            # The longest stem that nearly all of its words share is the least likely to have others.
+            longer = [x for x in found if x[-1] == "*" and x.startswith(t[:-1]) and k1[found[x]] >= SHARED * k1[found[t]]]
+            out.append(max(longer, key=lambda x: (len(x), x)))
     out += [t for t in found if t[-1] != "*" and not any(t.startswith(x[:-1]) for x in out if x[-1] == "*")]
+    # A weak word of texts that strong ones tell anyway is one of their copies' own words.
+    best = max((own[found[t]] for t in out), default=0.0)
+    strong = {found[t] for t in out if own[found[t]] >= WEAK * best}
+    lone: dict[int, set] = defaultdict(set)
+    for i in toxic.tolist():
+        if strong.isdisjoint(terms := sample.pairs[i].tolist()):
+            for t in terms:
+                lone[t].add(sample.prints[i])
+    out = [t for t in out if found[t] in strong or len(lone[found[t]]) >= 2]
     odds = lambda i: math.log((k1[i] + 0.5) / (n1 + 1) * (n0 + 1) / (k0[i] + 0.5))
     return {t: odds(found[t]) for t in sorted(sorted(out, key=lambda t: (-own[found[t]], t))[:MAX_TERMS])}
 
@@ -289,6 +304,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-6), grad)
     w[1:] = np.maximum(w[1:], 0.0)
     w[0] = min(w[0], -0.5)  # a text without hits is clean
+    w[1:4] = np.maximum(w[1:4], 0.5 - w[0])  # one with a single sure hit outside quotes isn't
     model.weights = w
     return model
 
