@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from typing import Any
 
@@ -148,6 +149,21 @@ def rank_payload(sample: str, curve: list[tuple[int, int]]) -> dict[str, Any] |
     return payload("extract", "barcode_rank", "linegraph", {sample: points}, "barcodes by rank") if points else None
 
 
+def rank_svg(curve: list[tuple[int, int]], knee: int | None = None, size: tuple[int, int] = (640, 480)) -> str:
+    """A rank curve on logarithmic axes as SVG, with the last called rank marked; no points give empty axes."""
+    points = [(r, n) for r, n in sorted(curve) if n > 0]
+    width, height = size[0] - 60, size[1] - 60
+    across, up = (math.log(max([p[k] for p in points] + [2])) for k in (0, 1))
+    place = lambda r, n: (50 + width * math.log(r) / across, 10 + height * (1 - math.log(n) / up))
+    line = " ".join(f"{x:.1f},{y:.1f}" for x, y in (place(r, n) for r, n in points))
+    mark = "" if knee is None or not points else f'<line x1="{place(knee, 1)[0]:.1f}" x2="{place(knee, 1)[0]:.1f}" y1="10" y2="{10 + height}" stroke="grey" stroke-dasharray="4"/>'
+    return (
+        f'<svg xmlns="http://www.w3.org/2000/svg" width="{size[0]}" height="{size[1]}" font-family="sans-serif" font-size="12">'
+        f'<path d="M50 10V{10 + height}H{50 + width}" fill="none" stroke="black"/><polyline points="{line}" fill="none" stroke="black"/>{mark}'
+        f'<text x="{50 + width / 2}" y="{size[1] - 15}">rank</text><text x="5" y="{10 + height / 2}">count</text></svg>'
+    )
+
+
 def write_payloads(folder: str, prefix: str, items: list[dict[str, Any] | None]) -> list[str]:
     """Writes each payload as JSON. One without an id or data raises before anything is written; None is passed over."""
     real = [p for p in items if p is not None]

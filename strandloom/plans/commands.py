@@ -15,6 +15,10 @@ from strandloom.sources.fastq import read_fastq, write_fastq
 from strandloom.sources.tables import bed, read_barcodes, read_umis, write_lines
 
 
+#: Ranks that the driver gets of a curve to find its knee on; a shorter curve is taken whole.
+KNEE_POINTS = 100_000
+
+
 def put(folder: str, name: str, text: str) -> None:
     with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
         f.write(text)
@@ -37,6 +41,7 @@ def extract_barcodes(spark: SparkSession, fastq: str, kit: Chemistry, out: str,
     plain = {k: stats[k] for k in ("total", "perfect", "corrected", "failed")}
     sampled = sampled_ranks(listed, listed.count()).orderBy("rank").collect()
     curve = [(r["rank"], r["count"]) for r in sampled]
+    put(out, f"{prefix}.bc_rank.svg", reports.rank_svg(curve))
     reports.write_payloads(out, prefix, [*reports.payloads("extract", prefix, plain | {"edit_distance": reports.combined_distances(stats) or {}}), reports.rank_payload(prefix, curve)])
     found.unpersist()
     return stats
@@ -138,10 +143,12 @@ def call_cells(spark: SparkSession, peaks_path: str, path: str, out: str, prefix
     totals = cells.column_sums(grid, everyone).persist()
     most = totals.count()
     n = cells.checked_n(force_n, most)
+    curve = cells.rank_curve(totals, "n", "barcode")
+    sampled = [(r["rank"], r.n) for r in sampled_ranks(curve, curve.count(), KNEE_POINTS).orderBy("rank").collect()]
     if n is None:
-        values = [r.n for r in cells.rank_curve(totals, "n", "barcode").orderBy("rank").select("n").collect()]
-        at = cells.knee(values)
-        n = at[0] if at else most
+        at = cells.knee([v for _, v in sampled])
+        n = sampled[at[0] - 1][0] if at else most
+    put(out, f"{prefix}_cells.svg", reports.rank_svg(sampled, n or None))
     top = cells.top_cells(totals, n).persist()
     features = cells.selected_features(grid, top)
     rows, columns = cells.indexed(features, "peak", "row").persist(), cells.indexed(top, "barcode", "col").persist()

@@ -148,6 +148,7 @@ def test_reports(rows, kit, tmp_path):
         reports.write_payloads(str(tmp_path), "x", [{"id": "a", "data": {"b": 1}}, dict(id="", data={})])
     assert not os.listdir(tmp_path)
     assert reports.write_payloads(str(tmp_path), "x", [None, {"id": "strandloom_a", "data": {"b": 1}}]) == [str(tmp_path / "x.a_mqc.json")]
+    assert reports.rank_svg([(1, 100), (10, 1), (11, 0)], 10).count("<") > 5 and "polyline" in reports.rank_svg([])
     assert reports.rank_payload("s", [(1, 5), (2, 0)])["data"]["s"] == [[1, 5]] and reports.rank_payload("s", []) is None
 
 
