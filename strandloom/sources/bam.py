@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import struct
@@ -187,18 +188,7 @@ class BamReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         k, path = partition.value
         with open(path, "rb") as f:
-            data = Bytes(inflated(f))
-            names = [n for n, _ in read_header(data)[1]]
-            rows: list[tuple] = []
-            n = 0
-            while size := data.take(4):
-                rows.append(((k << 40) + n, *decode(data.take(struct.unpack("<i", size)[0]), names)))
-                n += 1
-                if len(rows) == BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            yield from batches_of(inflated(f), k << 40)
 
 
 class BamSource(DataSource):
@@ -220,6 +210,34 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("bam").load(path)
 
 
+def batches_of(blocks: Iterator[bytes], first: int) -> Iterator[pa.RecordBatch]:
+    """The records of a file's blocks, numbered from ``first``."""
+    data = Bytes(blocks)
+    names = [n for n, _ in read_header(data)[1]]
+    rows: list[tuple] = []
+    n = first
+    while size := data.take(4):
+        rows.append((n, *decode(data.take(struct.unpack("<i", size)[0]), names)))
+        n += 1
+        if len(rows) == BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+
+def read_bam_store(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from any store that Spark reads; a file comes to one task as a whole, so it's for files of up to 2 GB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, content in zip(batch.column("k").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield from batches_of(inflated(io.BytesIO(content)), k << 30)
+
+    files = spark.read.format("binaryFile").load(path).select(F.monotonically_increasing_id().alias("k"), "content")
+    return files.mapInArrow(run, SCHEMA)
+
+
 def bam_header(path: str) -> tuple[str, list[tuple[str, int]]]:
     with open(path, "rb") as f:
         return read_header(Bytes(inflated(f)))

@@ -135,6 +135,7 @@ def test_bam_round_trip(spark, tmp_path):
     assert bam.bam_header(path) == HEADER
     got, want = bam.read_bam(spark, path).orderBy("ord").collect(), alignments(spark).orderBy(F.col("rname") == "*", "rname", "pos", "ord").collect()
     assert [tuple(r)[1:] for r in got] == [tuple(r)[1:] for r in want]
+    assert [tuple(r) for r in bam.read_bam_store(spark, path).orderBy("ord").collect()] == [tuple(r) for r in got]
     seen = {(r.qname, r.mate): r for r in bam.viewed(bam.read_bam(spark, path)).collect()}
     assert seen["a", 2].ref_len == 12 and seen["a", 2].is_reverse and seen["a", 1].cb == "AA" and seen["b", 1].as_tag == 90 and seen["d", 1].unmapped
     with open(path, "rb") as f:
