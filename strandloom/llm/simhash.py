@@ -27,8 +27,8 @@ HOT = 100_000
 ANCHORS, COUNTERS, BITS = 8, 4096, 1024
 #: Sketches make candidates from this much under the asked similarity, three standard errors of their estimate.
 TOLERANCE = 0.08
-#: Candidates' groups of more texts are dealt out again by their anchors; rows that are compared at once.
-EXACT, TILE = 4096, 1024
+#: Candidates' groups of more texts are compared in pairs of tiles, each pair a shard; texts of a tile, and rows that are compared at once.
+EXACT, TILE = 1024, 512
 #: Candidates that are broadcast to fetch their texts, at most; more are joined by a shuffle.
 FETCH = 200_000
 
@@ -333,8 +333,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     groups are what links connect. Candidates are texts whose wide SimHash sketches are as near as those of sets that are
     TOLERANCE less similar; BK-trees find them in shards, in which texts meet by one of the ANCHORS smallest shingle
     hashes (all pairs this similar have one in common but for 0.2**8 of them), and in a shard that is too large by two.
-    Within what candidates connect, whole shingle sets are compared exactly; a very large group of them is dealt out by
-    its anchors. Equal words are equal texts: one stands for all. Null and empty texts have no words and are one group.
+    Within what candidates connect, whole shingle sets are compared exactly; a large group of them in pairs of tiles, so
+    that no task holds more than two. Equal words are equal texts: one stands for all. Null and empty texts have no words and are one group.
     Texts of fewer words have one shingle, all of them.
     """
     columns = docs.columns
@@ -356,11 +356,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     other = F.array_except("anchors", F.array("shard"))
     loose = connected(link(shards, other, wide_radius(similarity - TOLERANCE)))
 
-    names = distinct.select("node", "_norm", "anchors", F.col("best._key").alias("_best"), F.col("best._row").alias("_one"))
+    names = distinct.select("node", "_norm", F.col("best._key").alias("_best"), F.col("best._row").alias("_one"))
     members = cut(loose.join(names, "node"))
-    large = members.groupBy("root").count().where(F.col("count") > EXACT).select("root", F.lit(True).alias("_large"))
-    dealt = F.when(F.col("_large"), F.transform("anchors", lambda a: F.xxhash64("root", a))).otherwise(F.array("root"))
-    places = members.join(large, "root", "left").select(F.explode(dealt).alias("shard"), "node", F.col("_norm").alias("_named"), "_one", "_best")
+    large = cut(members.groupBy("root").count().where(F.col("count") > EXACT).select("root", F.ceil(F.col("count") / TILE).cast("int").alias("_tiles")))
+    n = large.count()
+    sized = members.join(F.broadcast(large) if n <= HOT else large, "root", "left") if n else members.withColumn("_tiles", F.lit(None).cast("int"))
+    tile = F.pmod(F.xxhash64("node"), F.col("_tiles"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda u: F.xxhash64("root", F.least(tile, u), F.greatest(tile, u)))
+    dealt = F.when(F.col("_tiles").isNotNull(), tiles).otherwise(F.array("root"))
+    places = sized.select(F.explode(dealt).alias("shard"), "node", F.col("_norm").alias("_named"), "_one", "_best")
     if members.count() <= FETCH:
         places = F.broadcast(places)
     bodies = tagged.select("_norm", "_row", F.col(key).alias("_key"), utf8(text).alias("text"))
