@@ -334,7 +334,7 @@ def kept_exactly(texts):
     return sorted(set(parent))
 
 
-@pytest.mark.parametrize("limits", [{}, {"SHARD": 3, "EXACT": 2, "FETCH": 0, "HOT": 0}])
+@pytest.mark.parametrize("limits", [{}, {"SHARD": 3, "EXACT": 2, "TILE": 2, "FETCH": 0, "HOT": 0}])
 def test_deduplicated_against_all_pairs(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(simhash, k, v)
