@@ -318,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     learn = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~F.coalesce(held_out(key) if fold is None else fold, F.lit(True)))
     parts = [learn.where(F.col(label) == y).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").where("_text is not null").select("_key", "_text", "_y").toArrow()
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").where("_text is not null").groupBy("_key", "_y").agg(F.min("_text").alias("_text")).toArrow()  # one text an id
     order = np.lexsort((rows["_y"].to_numpy(), rows["_key"].to_numpy()))
     texts, y = rows["_text"].to_pylist(), rows["_y"].to_numpy()
     return fit([texts[i] for i in order], y[order].astype(np.int64))
