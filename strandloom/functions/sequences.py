@@ -47,23 +47,34 @@ def run_length(seq: Column, start: Column, base: str) -> Column:
     return F.length(F.regexp_extract(tail(seq, start), f"^{base}*", 0))
 
 
+def anchor_pattern(base: str, min_run: int, max_shift: int = MAX_SHIFT) -> str:
+    """What an anchor run looks like from its expected place on; group 1 is the run without the shift before it."""
+    return rf"^(?:[^{base}]{{1,{max_shift}}}(?={base}{{{min_run}}}))?({base}+(?:[^{base}]{base}{{{min_run},}})?)"
+
+
 def anchor_run(seq: Column, expected: Column, base: str, min_run: int, max_shift: int = MAX_SHIFT) -> Column:
     """struct(start, end) of the run of ``base`` at a place, or up to ``max_shift`` after it if it then has ``min_run``.
 
     The end may reach over a single other base if ``min_run`` of the anchor follow. Without a run, both are the place.
     """
-    pattern = rf"^(?:[^{base}]{{1,{max_shift}}}(?={base}{{{min_run}}}))?({base}+(?:[^{base}]{base}{{{min_run},}})?)"
+    pattern = anchor_pattern(base, min_run, max_shift)
     rest = tail(seq, expected)
     whole, run = F.length(F.regexp_extract(rest, pattern, 0)), F.length(F.regexp_extract(rest, pattern, 1))
     return F.struct((expected + whole - run).alias("start"), (expected + whole).alias("end"))
 
 
-def target_window(seq: Column, run_end: Column, length: int, max_errors: int, k: int = 4) -> Column:
-    """struct(start, sequence, matchable): where a target after an anchor run can be, clamped to the read."""
+def target_bounds(seq: Column, run_end: Column, length: int, max_errors: int, k: int = 4) -> tuple:
+    """(low, high, matchable) of where a target after an anchor run can be, clamped to the read; matchable is of low and high."""
     low = F.greatest(run_end - MAX_LEADING - max_errors, F.lit(0))
     high = F.least(run_end + length + max_errors, F.length(seq))
+    return F.when(run_end.isNotNull(), low), F.when(run_end.isNotNull(), high), lambda a, b: b - a >= max(k, length - max_errors)
+
+
+def target_window(seq: Column, run_end: Column, length: int, max_errors: int, k: int = 4) -> Column:
+    """struct(start, sequence, matchable) of the window that ``target_bounds`` says."""
+    low, high, matchable = target_bounds(seq, run_end, length, max_errors, k)
     window = F.when(high > low, F.substr(seq, low + 1, high - low)).otherwise("")
-    return F.struct(low.alias("start"), window.alias("sequence"), (F.length(window) >= max(k, length - max_errors)).alias("matchable"))
+    return F.struct(low.alias("start"), window.alias("sequence"), matchable(low, high).alias("matchable"))
 
 
 def umi_slice(seq: Column, anchor_end: Column, offset: int, length: int) -> Column:

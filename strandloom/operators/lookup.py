@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 
@@ -31,9 +30,15 @@ class Attempt:
     downstream: str | None = None
 
 
-@lru_cache(maxsize=1 << 17)
+#: Distances that a worker remembers, and how many at most.
+KNOWN: dict[tuple[str, str], tuple[int, ...]] = {}
+REMEMBERED = 1 << 17
+
+
 def prefix_distances(text: str, entry: str) -> tuple[int, ...]:
     """The edit distance of every prefix of ``text`` to the entry; N equals anything."""
+    if (found := KNOWN.get((text, entry))) is not None:
+        return found
     row = list(range(len(entry) + 1))
     out = [row[-1]]
     for i, x in enumerate(text, 1):
@@ -41,7 +46,9 @@ def prefix_distances(text: str, entry: str) -> tuple[int, ...]:
         for j, y in enumerate(entry, 1):
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y and x != "N" and y != "N"))
         out.append(row[-1])
-    return tuple(out)
+    if len(KNOWN) >= REMEMBERED:
+        KNOWN.clear()
+    return KNOWN.setdefault((text, entry), tuple(out))
 
 
 def best_window(read: str, entry: str, expected: int, budget: int, floor: int = 0) -> tuple[int, int, int] | None:

@@ -81,12 +81,12 @@ def with_umis(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
     if umi is None:
         raise ValueError(f"{chemistry.name} has no UMI")
     anchor, gap = chemistry.anchor(umi.name)
-    end = call(anchor.name, "end")
-    out = reads.withColumn("umi", S.umi_slice(F.col("seq"), end, gap, umi.size))
+    end = F.col("_end")  # a column of its own is evaluated once, however often it's used
+    out = reads.withColumn("_end", call(anchor.name, "end")).withColumn("umi", S.umi_slice(F.col("seq"), end, gap, umi.size))
     out = out.withColumn("umi_outcome", F.when(end.isNull(), "missing_left_anchor").when(F.col("umi").isNull(), "truncated").otherwise("accepted"))
     right = chemistry.layout.beside(umi.name, 1)
     run = S.run_length(F.col("seq"), F.col("umi.end"), right.base) if right is not None and right.kind is Kind.HOMOPOLYMER else F.lit(None).cast("int")
-    return out.withColumn("umi_run", run)
+    return out.withColumn("umi_run", run).drop("_end")
 
 
 def with_targets(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
@@ -118,21 +118,23 @@ def with_targets(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
             yield pa.array([known[w] for w in values], kind)
 
     find = F.arrow_udf(run, "struct<match:string,start:int,end:int,distance:int>", ArrowUDFType.SCALAR_ITER)
-    expected = call(left.name, "end") + gap
-    out = reads.withColumn("_run", F.when(expected.isNotNull(), S.anchor_run(F.col("seq"), expected, anchor.base, anchor.min_run)))
-    out = out.withColumn("_window", F.when(F.col("_run").isNotNull(), S.target_window(F.col("seq"), F.col("_run.end"), target.size, chemistry.errors.target, K)))
-    out = out.withColumn("_found", find(F.when(F.col("_window.matchable"), F.col("_window.sequence"))))
-    outcome = F.when(F.col("_run").isNull(), "no_left_anchor_pos").when(~F.col("_window.matchable"), "short_window").when(F.col("_found").isNull(), "no_match").otherwise("matched")
+    run_pattern = S.anchor_pattern(anchor.base, anchor.min_run)
+    out = reads.withColumn("_at", call(left.name, "end") + gap).withColumn("_rest", S.tail(F.col("seq"), F.col("_at")))
+    out = out.withColumns({"_whole": F.length(F.regexp_extract("_rest", run_pattern, 0)), "_run": F.length(F.regexp_extract("_rest", run_pattern, 1))})
+    low, high, matchable = S.target_bounds(F.col("seq"), F.col("_at") + F.col("_whole"), target.size, chemistry.errors.target, K)
+    out = out.withColumns({"_low": low, "_high": high}).withColumn("_ok", matchable(F.col("_low"), F.col("_high")))
+    out = out.withColumn("_found", find(F.when(F.col("_ok"), F.substr("seq", F.col("_low") + 1, F.col("_high") - F.col("_low")))))
+    outcome = F.when(F.col("_at").isNull(), "no_left_anchor_pos").when(~F.col("_ok"), "short_window").when(F.col("_found").isNull(), "no_match").otherwise("matched")
     return out.withColumns(
         {
             "target": F.coalesce("_found.match", F.lit(NO_TARGET)),
-            "target_start": F.col("_window.start") + F.col("_found.start"),
-            "target_end": F.col("_window.start") + F.col("_found.end"),
+            "target_start": F.col("_low") + F.col("_found.start"),
+            "target_end": F.col("_low") + F.col("_found.end"),
             "target_distance": F.col("_found.distance"),
-            "target_run": F.col("_run.end") - F.col("_run.start"),
+            "target_run": F.col("_run"),
             "target_outcome": outcome,
         }
-    ).drop("_run", "_window", "_found")
+    ).drop("_at", "_rest", "_whole", "_run", "_low", "_high", "_ok", "_found")
 
 
 def annotated(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
