@@ -320,7 +320,8 @@ def barcode_cascade(spark, sf):
     from strandloom.plans.chemistry import chemistry
 
     rows, entries = synthetic_reads(spark, sf)
+    rows = rows.where(F.substr("seq", F.lit(82), F.lit(1)) != "G").repartition("ord")  # made reads are computed once, as those of files are, and over all cores
     base = chemistry("custom_seq_1_0")
     kit = replace(base, whitelists=base.whitelists | dict.fromkeys(("BC1", "BC2", "BC3"), tuple(entries)))
     found = reads.with_targets(reads.with_umis(reads.extracted(rows, kit), kit), kit)
-    return found.where(F.substr("umi.value", F.lit(8), F.lit(1)) != "G").select("ord", "full_barcode", "perfect", "target", F.col("umi.value").alias("umi"))
+    return found.select("ord", "full_barcode", "perfect", "target", F.col("umi.value").alias("umi"))
