@@ -6,6 +6,7 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "all-rights-reserved": "All rights reserved.",
 }
-#: What a line of a licence has; lines without it are only read as parts of a block between such lines.
-CUE = re.compile(rb"licen[cs]|copyright|rights reserved|permission|permitted|redistribut|warrant|public domain|spdx|software foundation", re.IGNORECASE)
-#: Lines without a cue that a block may hold between two with one; words on either side of a match that don't count against it.
-GAP = 2
+#: What every licence has somewhere; texts without it have none, found faster.
+CUE = re.compile(rb"licen[cs]|copyright|rights[^0-9a-z]+reserved|permission|permitted|redistribut|warrant|public[^0-9a-z]+domain|spdx|software[^0-9a-z]+foundation", re.IGNORECASE)
 #: Templates that exact wording is compared with, best first; the share of a template's words that a block must have, in order.
 CONFIRMED, SHARE = 3, 0.85
 #: Blocks that a worker remembers.
@@ -68,6 +67,12 @@ class Scanner:
     def __init__(self, templates: dict[str, str] | None = None):
         self.templates = {k: v.encode() for k, v in (templates or TEMPLATES).items()}
         self.words = {k: wording(v) for k, v in self.templates.items()}
+        self.most = {k: max(1, round((1 - SHARE) * len(w))) for k, w in self.words.items()}  # words that may differ
+        # Of a wording in most + 1 pieces, most differences leave one whole: a text that holds none of them can't be near it.
+        self.pieces: list[tuple[bytes, str, int]] = []
+        for k, w in self.words.items():
+            bounds = np.linspace(0, len(w), self.most[k] + 2).astype(int).tolist()
+            self.pieces += [(b" " + b" ".join(w[a:b]) + b" ", k, a) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.with_template = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in self.templates.items()}
         self.cache: dict[bytes, list] = {}
@@ -101,32 +106,44 @@ class Scanner:
         self.cache[text] = sorted(kept, key=lambda x: x[3])
         return self.cache[text]
 
+    def blocks(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Runs of words, however broken into lines, that hold every passage near a template with room for its differences."""
+        joined = b" " + b" ".join(words) + b" "
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        near = []
+        for piece, name, offset in self.pieces:
+            at = joined.find(piece)
+            while at >= 0:
+                k = int(np.searchsorted(starts, at)) - offset
+                near.append((max(0, k - self.most[name]), min(len(words), k + len(self.words[name]) + self.most[name])))
+                at = joined.find(piece, at + 1)
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(near):
+            if out and a < out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
     def scan(self, text: bytes) -> list[tuple[str, float, int, int, int]]:
         """The licences of a whole text, by their place in it, in code points."""
         if not CUE.search(text):
             return []
-        lines, at = [], 0
-        for line in text.split(b"\n"):
-            lines.append((at, at + len(line), bool(CUE.search(line))))
-            at += len(line) + 1
-        found, k = [], 0
-        while k < len(lines):
-            if not lines[k][2]:
-                k += 1
-                continue
-            last = j = k
-            while j < len(lines) and j - last <= GAP + 1:
-                last = j if lines[j][2] else last
-                j += 1
+        places = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", text.lower())]
+        found = []
+        for first, last in self.blocks([text[a:b].lower() for a, b in places]):
+            a, b = places[first][0], places[last - 1][1]
             # One line may hold what a block as a whole doesn't: both are tried.
-            spans = [(lines[k][0], lines[last][1])] + ([(a, b) for a, b, cue in lines[k : last + 1] if cue] if last > k else [])
+            spans, at = [(a, b)], a
+            for line in text[a:b].split(b"\n"):
+                spans += [(at, at + len(line))] if CUE.search(line) else []
+                at += len(line) + 1
             here: list = []
             for a, b in spans:
                 for name, gain, differ, s, e in self.block(text[a:b]):
                     if all(e + a <= y[3] or s + a >= y[4] for y in here):
                         here.append((name, gain, differ, s + a, e + a))
             found += sorted(here, key=lambda x: x[3])
-            k = last + 1
         points, out, pos = 0, [], 0
         for name, gain, differ, s, e in found:
             points += len(text[pos:s].decode("utf-8", "replace"))

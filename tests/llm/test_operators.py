@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -384,6 +385,23 @@ def test_language_grams():
 # --- licences
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+
+
+@pytest.mark.parametrize("name", ["MIT", "MPL-2.0", "Unlicense", "BSD-2-Clause", "GPL-3.0-or-later"])
+def test_licenses_in_any_line_breaks(name):
+    scanner = licenses.Scanner()
+    published = {
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    for body in (published.get(name, wrapped(licenses.TEMPLATES[name], 78)), wrapped(licenses.TEMPLATES[name], 40), wrapped(licenses.TEMPLATES[name], 10)):
+        body = body.rstrip(".")
+        text = f"Some prose of a file.\nA second line\n\n{body}.\n\nint main() {{\n}}\n"
+        got = scanner.scan(text.encode())
+        assert [x[0] for x in got] == [name] and text[got[0][3] : got[0][4]] == body.rstrip("/")
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
     texts = [
