@@ -1,8 +1,7 @@
-"""License scans by conditional compression: blocks that shrink most with a template as raw dictionary, confirmed word by word."""
+"""License scans: passages confirmed word by word, scored by how much a template as raw dictionary compresses them."""
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -51,8 +50,8 @@ TEMPLATES = {
 }
 #: What every licence has somewhere; texts without it have none, found faster.
 CUE = re.compile(rb"licen[cs]|copyright|rights[^0-9a-z]+reserved|permission|permitted|redistribut|warrant|public[^0-9a-z]+domain|spdx|software[^0-9a-z]+foundation", re.IGNORECASE)
-#: Templates that exact wording is compared with, best first; the share of a template's words that a block must have, in order.
-CONFIRMED, SHARE = 3, 0.85
+#: The share of a template's words that a passage must have, in order.
+SHARE = 0.85
 #: Blocks that a worker remembers.
 CACHE = 20_000
 
@@ -62,7 +61,7 @@ def wording(text: bytes) -> list[bytes]:
 
 
 class Scanner:
-    """Compresses blocks with each template as dictionary."""
+    """Aligns blocks with the templates and compresses what they confirm with them as dictionaries."""
 
     def __init__(self, templates: dict[str, str] | None = None):
         self.templates = {k: v.encode() for k, v in (templates or TEMPLATES).items()}
@@ -77,32 +76,49 @@ class Scanner:
         self.with_template = {k: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in self.templates.items()}
         self.cache: dict[bytes, list] = {}
 
+    def near(self, words: list[bytes], name: str) -> list[tuple[int, int, int]]:
+        """(words that differ, first, last) of the passages with a template's wording, every end of the best of each start.
+
+        An alignment by insertions and deletions of words; a cell is its cost times ``big`` plus where it began.
+        """
+        own, big = self.words[name], len(words) + 1
+        ids = {w: i for i, w in enumerate(dict.fromkeys(own))}
+        wanted = np.array([ids[w] for w in own])
+        step = np.arange(len(own) + 1) * big
+        cells, out = step.copy(), []
+        for j, w in enumerate(words):
+            new = cells + big
+            new[0] = j + 1
+            if w in ids:
+                new[1:] = np.where(wanted == ids[w], np.minimum(new[1:], cells[:-1]), new[1:])
+            cells = np.minimum.accumulate(new - step) + step
+            differ, first = divmod(int(cells[-1]), big)
+            if differ <= self.most[name] and len(own) + (j + 1 - first) - differ >= 2 * SHARE * len(own):
+                out.append((differ, first, j + 1))
+        return out
+
     def block(self, text: bytes) -> list[tuple[str, float, int, int, int]]:
-        """(name, size reduction, words that differ, start, end in bytes) of the templates that a block holds."""
+        """(name, size reduction, words that differ, start, end in bytes) of all passages of a block that a template confirms."""
         if text in self.cache:
             return self.cache[text]
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        alone = len(self.plain.compress(text))
-        gains = sorted(((1 - len(c.compress(text)) / alone, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
-        words, found = wording(text), []
         places = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", text.lower())]
-        for gain, name in gains[:CONFIRMED]:
-            own = self.words[name]
-            same = [m for m in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size] if gain > 0 else []
-            hit = sum(m.size for m in same)
-            if hit < SHARE * len(own):
-                continue
-            first, last = same[0].b, same[-1].b + same[-1].size
-            differ = len(own) - hit + (last - first - hit)
-            if differ <= max(1, round((1 - SHARE) * len(own))):
-                found.append((name, round(gain, 6), differ, places[first][0], places[last - 1][1]))
+        words, found = [text[a:b].lower() for a, b in places], []
+        for name in self.templates:
+            # Of a passage's ends, the one that differs least stays.
+            kept: list = []
+            for differ, first, last in sorted(self.near(words, name), key=lambda x: (x[0], x[1] - x[2], x[1])):
+                if all(last <= y[1] or first >= y[2] for y in kept):
+                    kept.append((differ, first, last))
+            found += [(name, differ, places[first][0], places[last - 1][1]) for differ, first, last in kept]
         # Of two that overlap, the one with more of its wording there stays.
-        found.sort(key=lambda x: (-(x[4] - x[3]), x[2], -x[1], x[0]))
-        kept: list = []
-        for x in found:
-            if all(x[4] <= y[3] or x[3] >= y[4] for y in kept):
-                kept.append(x)
+        found.sort(key=lambda x: (-(x[3] - x[2]), x[1], x[0]))
+        kept = []
+        for name, differ, a, b in found:
+            if all(b <= y[3] or a >= y[4] for y in kept):
+                alone, given = (len(c.compress(text[a:b])) for c in (self.plain, self.with_template[name]))
+                kept.append((name, round(1 - given / alone, 6), differ, a, b))
         self.cache[text] = sorted(kept, key=lambda x: x[3])
         return self.cache[text]
 
@@ -133,17 +149,7 @@ class Scanner:
         found = []
         for first, last in self.blocks([text[a:b].lower() for a, b in places]):
             a, b = places[first][0], places[last - 1][1]
-            # One line may hold what a block as a whole doesn't: both are tried.
-            spans, at = [(a, b)], a
-            for line in text[a:b].split(b"\n"):
-                spans += [(at, at + len(line))] if CUE.search(line) else []
-                at += len(line) + 1
-            here: list = []
-            for a, b in spans:
-                for name, gain, differ, s, e in self.block(text[a:b]):
-                    if all(e + a <= y[3] or s + a >= y[4] for y in here):
-                        here.append((name, gain, differ, s + a, e + a))
-            found += sorted(here, key=lambda x: x[3])
+            found += [(name, gain, differ, s + a, e + a) for name, gain, differ, s, e in self.block(text[a:b])]
         points, out, pos = 0, [], 0
         for name, gain, differ, s, e in found:
             points += len(text[pos:s].decode("utf-8", "replace"))

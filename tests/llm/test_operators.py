@@ -402,6 +402,15 @@ def test_licenses_in_any_line_breaks(name):
         assert [x[0] for x in got] == [name] and text[got[0][3] : got[0][4]] == body.rstrip("/")
 
 
+def test_licenses_of_one_block():
+    scanner = licenses.Scanner()
+    for names in (["Apache-2.0", "GPL-3.0-or-later", "ISC"], ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC"], ["GPL-2.0-or-later", "MPL-2.0", "BSD-3-Clause", "ISC"], ["MIT", "ISC", "MIT", "MIT"], [*(k for k in licenses.TEMPLATES if not k.endswith("-notice"))]):
+        for width in (78, 10_000):
+            text = "\n".join(wrapped(licenses.TEMPLATES[k], width) for k in names)
+            got = scanner.scan(text.encode())
+            assert [x[0] for x in got] == names and all(x[1] > 0 and x[2] == 0 for x in got)
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
     texts = [
