@@ -23,10 +23,13 @@ BLOCK = 256
 LEAF = 48
 #: Hot shards whose list is broadcast, at most; a longer list is joined by a shuffle.
 HOT = 100_000
-#: Wide sketches: smallest shingle hashes that place a text into shards, counters and bits.
-ANCHORS, COUNTERS, BITS = 8, 4096, 1024
-#: Sketches make candidates from this much under the asked similarity, three standard errors of their estimate.
-TOLERANCE = 0.08
+#: Wide sketches: smallest shingle hashes that place a text into shards, those that split a large shard, counters and bits.
+ANCHORS, SPLIT, COUNTERS, BITS = 8, 12, 4096, 1024
+#: Sketches make candidates from this much under the asked similarity, 4.8 standard errors of the distance of texts of SHORT
+#: shingles and more, so that they lose no more pairs than the anchors do.
+TOLERANCE = 0.15
+#: Texts of fewer shingles meet those as short, and what can be similar to them, without any loss: sketches can't tell so few.
+SHORT = 64
 #: Candidates' groups of more texts are compared in pairs of tiles, each pair a shard; texts of a tile, and rows that are compared at once.
 EXACT, TILE = 1024, 512
 #: Candidates that are broadcast to fetch their texts, at most; more are joined by a shuffle.
@@ -194,12 +197,12 @@ def link(keyed: DataFrame, second: "F.Column", radius: int) -> DataFrame:
     """Links (a, b) between nodes whose prints are within ``radius`` in a shard. keyed: shard, node, print, more.
 
     Shards of over SHARD rows are dealt out again by (shard, each element of ``second``): a column of arrays of long
-    such that two linked rows of a shard have an element in common.
+    such that two linked rows of a shard have an element in common; rows without any stay together.
     """
     hot = cut(keyed.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.lit(True).alias("_hot")))
     n = hot.count()
     keyed = keyed.join(F.broadcast(hot) if n <= HOT else hot, "shard", "left") if n else keyed.withColumn("_hot", F.lit(False))
-    dealt = keyed.select(F.explode(F.when(F.col("_hot"), F.transform(second, lambda x: F.xxhash64("shard", x))).otherwise(F.array("shard"))).alias("shard"), "node", "print")
+    dealt = keyed.select(F.explode(F.when(F.col("_hot") & (F.size(second) > 0), F.transform(second, lambda x: F.xxhash64("shard", x))).otherwise(F.array("shard"))).alias("shard"), "node", "print")
     return dealt.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(link_shards(radius), "a long, b long")
 
 
@@ -243,16 +246,15 @@ def groups(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame
     return prints.join(named, "fingerprint")
 
 
-def sketches(texts: list[bytes], width: int, signs: np.ndarray) -> tuple[list[bytes], list[list[int]]]:
-    """(print, anchors) of each text: SimHash of BITS bits of its different shingles, and the smallest of their hashes.
+def sketches(sets: list[np.ndarray], signs: np.ndarray) -> tuple[list[bytes], list[list[int]]]:
+    """(print, anchors) of each set of shingle hashes: SimHash of BITS bits, and the SPLIT smallest of them.
 
     The bits are signs of random projections of a count sketch of the shingles, whole numbers below 2**24 in float32,
     so they are the same everywhere.
     """
-    counters, anchors = np.zeros((len(texts), COUNTERS), np.float32), []
-    for i, t in enumerate(texts):
-        h = np.unique(shingle_hashes(t, width))
-        anchors.append(h[:ANCHORS].view(np.int64).tolist())
+    counters, anchors = np.zeros((len(sets), COUNTERS), np.float32), []
+    for i, h in enumerate(sets):
+        anchors.append(h[:SPLIT].view(np.int64).tolist())
         counters[i] = np.bincount((h >> np.uint64(20) & np.uint64(COUNTERS - 1)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0), COUNTERS)
     bits = np.packbits(counters @ signs > 0, axis=1)
     return [x.tobytes() for x in bits], anchors
@@ -264,6 +266,30 @@ def projection() -> np.ndarray:
     return (2.0 * bits.reshape(COUNTERS, BITS) - 1).astype(np.float32)
 
 
+def short_sketch(h: np.ndarray, similarity: float, most: int) -> bytes:
+    """A print of BITS bits of a set of at most ``most`` hashes; similar sets' are never farther apart than short_radius.
+
+    Half of the bits are the hashes' own, which differ in at most the sets' symmetric difference. A set's own share of what
+    larger sets may differ in is filled up by bits of its own in the other half, so that one radius suits all sizes.
+    """
+    out, half = np.zeros(BITS, np.uint8), BITS // 2
+    out[(h >> np.uint64(30) & np.uint64(half - 1)).astype(np.int64)] = 1
+    own = max(0, int((most - len(h)) * (1 - similarity) / (1 + similarity) + 1e-9))
+    for k in range(own):
+        out[half + xxhash.xxh64_intdigest(h.tobytes(), k) % half] = 1
+    return np.packbits(out).tobytes()
+
+
+def short_radius(similarity: float, most: int) -> int:
+    return int(2 * most * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def heads(h: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first of a set's sorted hashes, and how many of them any set as similar must share one of within its own; with all, two."""
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    return h[: n + 1], n
+
+
 def wide_radius(similarity: float) -> int:
     """Differing bits at which texts of this Jaccard similarity are, on average, if they are of equal length."""
     return int(BITS * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
@@ -292,7 +318,7 @@ def tile_links(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> t
             dense.append(m)
         shared += dense[0] @ dense[1].T
     sizes = [np.array([len(h) for h in x], np.float64) for x in (a, b)]
-    return np.nonzero(shared * (1 + similarity) >= similarity * (sizes[0][:, None] + sizes[1][None, :]) - 1e-6)
+    return np.nonzero(shared.astype(np.float64) * (1 + similarity) >= similarity * (sizes[0][:, None] + sizes[1][None, :]) - 1e-6)
 
 
 def verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -330,14 +356,16 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """One row of each group of near-duplicates, that with the smallest key (null keys last), whole and unchanged.
 
     Texts are linked if the Jaccard similarity of their different shingles of ``width`` words is ``similarity`` or more;
-    groups are what links connect. Candidates are texts whose wide SimHash sketches are as near as those of sets that are
-    TOLERANCE less similar; BK-trees find them in shards, in which texts meet by one of the ANCHORS smallest shingle
-    hashes (all pairs this similar have one in common but for 0.2**8 of them), and in a shard that is too large by two.
+    groups are what links connect. Candidates among texts of SHORT shingles and more are those whose wide SimHash sketches are
+    as near as those of sets that are TOLERANCE less similar; BK-trees find them in shards, in which texts meet by one of the
+    ANCHORS smallest shingle hashes (all pairs this similar have one in common but for 0.2**8 of them), and in a shard that is
+    too large by another of the SPLIT smallest. Shorter texts, and what can be similar to them, meet by as many of their smallest
+    hashes as any similar text must share one of, and by prints that lose no pair.
     Within what candidates connect, whole shingle sets are compared exactly; a large group of them in pairs of tiles, so
     that no task holds more than two. Equal words are equal texts: one stands for all. Null and empty texts have no words and are one group.
     Texts of fewer words have one shingle, all of them.
     """
-    columns = docs.columns
+    columns, most = docs.columns, int((SHORT - 1) / similarity + 1e-9)
     tagged = docs.withColumns({"_norm": normal(text), "_row": F.xxhash64(*columns)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,16 +373,25 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         for batch in slices(batches, "_text", 1 << 20):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                prints, anchors = sketches(part.column("_text").to_pylist(), width, signs)
-                yield pa.RecordBatch.from_arrays([part.column("_norm"), part.column("_key"), part.column("_row"), pa.array(prints, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["_norm", "_key", "_row", "print", "anchors"])
+                sets = [np.unique(shingle_hashes(t, width)) for t in part.column("_text").to_pylist()]
+                prints, anchors = sketches(sets, signs)
+                small = [short_sketch(h, similarity, most) if 0 < len(h) <= most else None for h in sets]
+                first = [heads(h, similarity) if 0 < len(h) <= most else (h[:0], 0) for h in sets]
+                new = {
+                    "print": pa.array(prints, pa.binary()), "anchors": pa.array([x if len(h) >= SHORT else [] for x, h in zip(anchors, sets, strict=True)], pa.list_(pa.int64())),
+                    "small": pa.array(small, pa.binary()), "heads": pa.array([h.view(np.int64).tolist() for h, _ in first], pa.list_(pa.int64())), "met": pa.array([n for _, n in first], pa.int32()),
+                }
+                yield pa.RecordBatch.from_arrays([part.column("_norm"), part.column("_key"), part.column("_row"), *new.values()], ["_norm", "_key", "_row", *new])
 
     light = tagged.select("_norm", F.col(key).alias("_key"), "_row", utf8(text).alias("_text"))
-    drawn = light.mapInArrow(run, f"_norm string, _key {docs.schema[key].dataType.simpleString()}, _row long, print binary, anchors array<long>")
+    drawn = light.mapInArrow(run, f"_norm string, _key {docs.schema[key].dataType.simpleString()}, _row long, print binary, anchors array<long>, small binary, heads array<long>, met int")
     best = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")
-    distinct = cut(drawn.groupBy("_norm").agg(best, F.min("print").alias("print"), F.min("anchors").alias("anchors"))).withColumn("node", F.monotonically_increasing_id())
-    shards = distinct.select(F.explode("anchors").alias("shard"), "node", "print", "anchors")
-    other = F.array_except("anchors", F.array("shard"))
-    loose = connected(link(shards, other, wide_radius(similarity - TOLERANCE)))
+    distinct = cut(drawn.groupBy("_norm").agg(best, *(F.min(c).alias(c) for c in ("print", "anchors", "small", "heads", "met")))).withColumn("node", F.monotonically_increasing_id())
+    wide = distinct.select(F.explode(F.slice("anchors", 1, ANCHORS)).alias("shard"), "node", "print", F.col("anchors").alias("near"))
+    short = distinct.select(F.explode(F.slice("heads", F.lit(1), F.col("met"))).alias("shard"), "node", F.col("small").alias("print"), F.col("heads").alias("near"))
+    other = F.array_except("near", F.array("shard"))
+    near = link(wide, other, wide_radius(similarity - TOLERANCE)).unionByName(link(short, other, short_radius(similarity, most)))
+    loose = connected(near)
 
     names = distinct.select("node", "_norm", F.col("best._key").alias("_best"), F.col("best._row").alias("_one"))
     members = cut(loose.join(names, "node"))

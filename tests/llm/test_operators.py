@@ -344,6 +344,33 @@ def test_deduplicated_against_all_pairs(spark, monkeypatch, limits):
     assert sorted(r.doc_id for r in got.collect()) == kept_exactly(texts) and got.columns == clashing(frame(spark, [])).columns
 
 
+@pytest.mark.parametrize("shard", [2048, 1])
+def test_deduplicated_short_texts(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        ws = [f"w{rng.randrange(5000)}" for _ in range(9)]
+        texts += [" ".join(ws), " ".join(ws[:8])]  # 4 of 5 shingles
+        ws = [f"w{rng.randrange(5000)}" for _ in range(19)]
+        texts += [" ".join(ws), " ".join(ws[:16])]  # 12 of 15
+    texts += ["x " * n for n in range(6, 12)]  # one shingle, the same
+    got = simhash.deduplicated(frame(spark, texts))
+    assert sorted(r.doc_id for r in got.collect()) == kept_exactly(texts)
+
+
+def test_short_sketches_lose_no_pair():
+    rng, most = np.random.default_rng(5), int((simhash.SHORT - 1) / 0.8)
+    for n in range(1, most + 1):
+        for left in range(int(0.2 * n) + 1):
+            x = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+            y = np.delete(x, rng.choice(n, left, replace=False))
+            a, b = (np.frombuffer(simhash.short_sketch(z, 0.8, most), np.uint64) for z in (x, y))
+            assert np.bitwise_count(a ^ b).sum() <= simhash.short_radius(0.8, most)
+            (p, n_p), (q, n_q) = (simhash.heads(z, 0.8) for z in (x, y))
+            assert set(p[:n_p].tolist()) & set(q[:n_q].tolist()) and len(set(p.tolist()) & set(q.tolist())) >= min(2, len(y))
+
+
 def test_deduplicated_ties(spark):
     rows = frame(spark, ["a b c d e f"] * 4, ids=[None, 7, 7, 7])
     assert [r.doc_id for r in simhash.deduplicated(rows).collect()] == [7]
