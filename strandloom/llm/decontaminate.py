@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from strandloom.llm.common import slices, table, utf8
 WINDOW = 8
 #: Windows that are broadcast at once (about 100 bytes each); a larger benchmark is joined in several rounds.
 MAX_WINDOWS = 100_000
+#: Documents that may be expected to hold the same items of under WINDOW words by chance, for such items to count as a leak.
+CHANCE = 0.01
 #: Every byte that is no word byte becomes a blank, A-Z becomes a-z; the rest, all of non-ASCII UTF-8 included, stays.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -129,12 +132,12 @@ def vocabulary_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dic
     return {names[r.w]: r.n for r in rows}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, least_words: int = 1, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """Columns ``keep`` of docs (all but the text if None), with n_words, n_hit and items (ids as sorted text) for each row.
 
     A word is hit if it lies inside any occurrence of a window of a benchmark item; items holds those with an occurring window.
     Null and empty texts have no words: 0, 0 and no items. Repeated rows give equal rows, repeated items count once by their id.
-    An empty benchmark hits nothing. Items of fewer than ``least_words`` words are left out. Columns of docs named like the new ones are replaced.
+    An empty benchmark hits nothing. Columns of docs named like the new ones are replaced.
     The benchmark is taken in item order in rounds of about ``max_windows`` windows; each is broadcast, and the rounds follow
     one another over the same rows within one stage.
     """
@@ -144,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     for row in benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).orderBy("i").toLocalIterator():
         if len(rounds[-1]) >= max_windows:
             rounds.append([])
-        rounds[-1] += windows_of([(row.i, bytes(row.t))]) if len(words(bytes(row.t))) >= least_words else []
+        rounds[-1] += windows_of([(row.i, bytes(row.t))])
     found = docs.select(*keep, utf8(text).alias("_text"))
     for k, windows in enumerate(rounds):
         counts = vocabulary_counts(docs, text, {w for _, ws in windows for w in ws}) if windows else {}
@@ -156,9 +159,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows without any window of WINDOW words of a benchmark item, whole and unchanged; shorter items are too common to tell."""
-    found = contaminated(docs.withColumn("_body", F.col(text)), benchmark, text, keep=[*(c for c in docs.columns if c != text), "_body"], least_words=WINDOW)
-    return found.where(F.size("items") == 0).withColumnRenamed("_body", text).select(*docs.columns)
+    """The rows that hold no window of WINDOW words of a benchmark item and no shorter items that tell, whole and unchanged.
+
+    Shorter items tell if documents would hold all those that this one holds by chance, were words dealt out by their
+    frequencies in the corpus, fewer than CHANCE times; so a common word alone never does, and a whole question does.
+    """
+    folded = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = F.regexp_extract_all(folded, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    named = benchmark.select(F.when(F.size(own) < WINDOW, F.array_join(own, " ")).otherwise("").alias("item_id"), "text")  # short items by their words
+    found = contaminated(docs.withColumn("_body", F.col(text)), named, text, keep=[*(c for c in docs.columns if c != text), "_body"])
+    short = [r.item_id for r in named.where("item_id <> ''").distinct().collect()]
+    rows = found.where(F.size("items") == 0)
+    if short:
+        split = {x: x.encode().split() for x in short}
+        counts = vocabulary_counts(docs, text, {w for ws in split.values() for w in ws})
+        total = max(1, found.agg(F.sum("n_words")).first()[0] or 0)
+        chance = {x: sum(math.log(counts[w] / total) for w in ws) for x, ws in split.items() if all(w in counts for w in ws)}
+        held = docs.sparkSession.sparkContext.broadcast(chance)
+
+        @F.arrow_udf("boolean")
+        def leaks(items: pa.Array, n_words: pa.Array) -> pa.Array:
+            out = []
+            for own, n in zip(items.to_pylist(), n_words.to_pylist(), strict=True):
+                expected = math.log(total / max(1, n)) + sum(min(0.0, math.log(max(1, n)) + held.value[x]) for x in own if x)
+                out.append("" in own or (bool(own) and expected < math.log(CHANCE)))
+            return pa.array(out, pa.bool_())
+
+        rows = found.where(~leaks("items", "n_words"))
+    return rows.withColumnRenamed("_body", text).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -499,6 +499,14 @@ def test_decontamination_of_nothing(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
 
 
+def test_decontamination_by_short_items(spark):
+    bench = spark.createDataFrame([(1, "Which river crosses Vienna today?"), (2, "the"), (3, "red kite"), (4, "of a"), (5, "blue fox")], "item_id long, text string")
+    filler = "the end of a day " * 20
+    texts = [f"{filler} which river crosses Vienna today {filler}", f"{filler} which river", filler, "the of a", None, f"a red kite {filler} a blue fox"] + [f"{filler} red or blue kite and fox"] * 20
+    kept = decontaminate.clean(frame(spark, texts), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, *range(6, 26)]
+
+
 # --- media
 
 
