@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from strandloom.llm.common import slices, table, utf8
+from strandloom.llm.common import shipped, slices, table, utf8
 
 #: Letters and numbers of Unicode 16 that Python's tables (15.1) don't have, as (first, last).
 LETTERS_16 = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
 NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-CACHE = 200_000
+CACHE = 100_000
 #: Symbols that one call of the merge rounds takes together, unless a single piece has more.
 ROUND_SYMBOLS = 1 << 20
 
@@ -190,12 +190,12 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
 
     Null and empty texts have no ids. Strings of added tokens in a text become those tokens, as the file says.
     """
-    bpe = docs.sparkSession.sparkContext.broadcast(load(path or vocabulary_path()))
+    bpe = shipped(docs.sparkSession, load(path or vocabulary_path()))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: list[dict] = [{}, {}]
         for column in batches:
-            got = [np.frombuffer(x, "<u4").astype(np.int32) for part in slices([pa.RecordBatch.from_arrays([column], ["t"])], "t") for x in bpe.value.encode([t.decode() for t in part.column(0).to_pylist()], cache)]
+            got = [np.frombuffer(x, "<u4").astype(np.int32) for part in slices([pa.RecordBatch.from_arrays([column], ["t"])], "t") for x in bpe().encode([t.decode() for t in part.column(0).to_pylist()], cache)]
             yield pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in got]))).astype(np.int32), np.concatenate([*got, np.zeros(0, np.int32)]))
 
     return docs.withColumn(ids, F.arrow_udf(run, "array<int>", ArrowUDFType.SCALAR_ITER)(utf8(text)))
@@ -203,11 +203,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
 
 def decode(tokens: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None) -> DataFrame:
     """Tokens with a column ``text`` that ``ids`` stand for; null ids give a null text."""
-    bpe = tokens.sparkSession.sparkContext.broadcast(load(path or vocabulary_path()))
+    bpe = shipped(tokens.sparkSession, load(path or vocabulary_path()))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([None if x is None else bpe.value.decode(np.array(x, "<u4").tobytes()) for x in column.to_pylist()], pa.string())
+            yield pa.array([None if x is None else bpe().decode(np.array(x, "<u4").tobytes()) for x in column.to_pylist()], pa.string())
 
     return tokens.withColumn(text, F.arrow_udf(run, "string", ArrowUDFType.SCALAR_ITER)(F.col(ids)))
 
@@ -217,14 +217,14 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     Null and empty texts have no ids. Repeated rows give equal rows.
     """
-    bpe = docs.sparkSession.sparkContext.broadcast(load(path or vocabulary_path()))
+    bpe = shipped(docs.sparkSession, load(path or vocabulary_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: list[dict] = [{}, {}]
         sha = hashlib.sha256
         for batch in slices(batches, "_text"):
-            ids = bpe.value.encode([t.decode() for t in batch.column("_text").to_pylist()], cache)
-            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(bpe.value.decode(x).encode()).hexdigest() for x in ids], pa.string())]
+            ids = bpe().encode([t.decode() for t in batch.column("_text").to_pylist()], cache)
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(bpe().decode(x).encode()).hexdigest() for x in ids], pa.string())]
             names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
@@ -237,4 +237,5 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of tokens and the digests of its ids and of what they decode to. Null and empty texts have no ids; repeated rows give equal rows."""
     return round_trip(table(spark, sf_dir, "documents"))

@@ -12,15 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import connected, cut, slices, table, utf8
+from strandloom.llm.common import connected, cut, slices, stars, table, trim, utf8
 
 SEED = 42
-#: Shards of more rows are split by a second key; nothing is dropped.
+#: Shards of more rows are split: by a second key, and then by cells; nothing is dropped.
 SHARD = 2048
-#: Rows that meet a shard's tree together.
-BLOCK = 256
-#: Shards of up to so many rows are one leaf: all their pairs are compared.
-LEAF = 48
+#: Pairs of a row and a tree's node that are compared at once, about.
+FRONTIER = 100_000
 #: Hot shards whose list is broadcast, at most; a longer list is joined by a shuffle.
 HOT = 100_000
 #: Wide sketches: smallest shingle hashes that place a text into shards, those that split a large shard, counters and bits.
@@ -30,9 +28,9 @@ ANCHORS, SPLIT, COUNTERS, BITS = 8, 12, 4096, 1024
 TOLERANCE = 0.15
 #: Texts of fewer shingles meet those as short, and what can be similar to them, without any loss: sketches can't tell so few.
 SHORT = 64
-#: Candidates' groups of more texts are compared in pairs of tiles, each pair a shard; texts of a tile, and rows that are compared at once.
-EXACT, TILE = 1024, 512
-#: Candidates that are broadcast to fetch their texts, at most; more are joined by a shuffle.
+#: Candidates' groups of more texts or bytes are compared in tiles; texts and bytes of a tile, about, and rows that are compared at once.
+EXACT, TILE, TILE_BYTES = 1024, 512, 32 << 20
+#: Rows that are broadcast to fetch candidates' texts, at most (about 50 bytes each); more are joined by a shuffle.
 FETCH = 200_000
 
 
@@ -58,152 +56,163 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes(), "big")
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hamming distances between the rows of two arrays of uint64 words."""
-    out = np.zeros((len(x), len(y)), np.int32)
-    for k in range(x.shape[1]):
-        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-    return out
+def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the rows of two arrays of uint64 words."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
 
 
-class Forest:
-    """BK-trees of one shard: each root's children are keyed by their integer distance to it, at most the radius.
+class Trees:
+    """The BK-trees of many shards in flat arrays: a node's children are keyed by their integer Hamming distance to it.
 
-    A fingerprint within the radius of a root becomes a child of the nearest; else it is a new root. By the triangle
-    inequality, a query at distance d from a root can only be within the radius of children whose key is at least
-    d - radius, so those edges alone are followed, and none where d is over twice the radius.
+    Rows go in in their order, all trees a level at a time: the first row that comes to a free place becomes the node
+    there, the others follow the edge of their distance to it. A row equal to a node is no node of its own: ``same`` links them.
     """
 
-    def __init__(self, radius: int, words: int):
-        self.radius, self.roots = radius, np.zeros((0, words), np.uint64)
-        self.root_at: list[int] = []
-        self.children: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []  # of each root: (keys, fingerprints, rows)
-
-    def add(self, x: np.ndarray, first: int) -> list[tuple[int, int]]:
-        """Adds a block whose rows count from ``first``; the links that join it to what is there and within itself."""
-        r, links = self.radius, []
-        d = distances(x, self.roots)
-        home, key = np.full(len(x), -1), np.zeros(len(x), np.int32)
-        if len(self.roots):
-            near = d <= r
-            for i, j in zip(*np.nonzero(near), strict=True):
-                links.append((first + int(i), self.root_at[j]))
-            home = np.where(near.any(1), d.argmin(1), -1)
-            key = d.min(1)
-            for j in np.flatnonzero(((d > r) & (d <= 2 * r)).any(0)):
-                for keys, prints, rows in self.children[j]:
-                    who = np.flatnonzero((d[:, j] > r) & (d[:, j] <= r + keys.max()))
-                    if len(who):
-                        hit = (distances(x[who], prints) <= r) & (keys[None, :] >= d[who, j][:, None] - r)
-                        links += [(first + int(who[a]), int(rows[b])) for a, b in zip(*np.nonzero(hit), strict=True)]
-        own = distances(x, x)
-        apart = np.triu(own <= r, 1) & ~((home[:, None] == home[None, :]) & (home[:, None] >= 0))
-        links += [(first + int(a), first + int(b)) for a, b in zip(*np.nonzero(apart), strict=True)]
-        while (left := np.flatnonzero(home < 0)).size:
-            root = left[0]
-            members = left[own[root, left] <= r]
-            home[members], key[members] = len(self.roots), own[root, members]
-            self.roots = np.concatenate((self.roots, x[root : root + 1]))
-            self.root_at.append(first + int(root))
-            self.children.append([])
-        for j in np.unique(home):
-            at = np.flatnonzero((home == j) & (np.arange(len(x)) + first != self.root_at[j]))
-            if len(at):
-                self.children[j].append((key[at], x[at], at + first))
-                if len(self.children[j]) > 16:
-                    self.children[j] = [tuple(np.concatenate(c) for c in zip(*self.children[j], strict=True))]
-        return links
-
-
-def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Those of the links that join what wasn't joined: as connected as all, one fewer than nodes at most."""
-    parent: dict[int, int] = {}
-
-    def find(a: int) -> int:
-        while parent.setdefault(a, a) != a:
-            parent[a] = a = parent[parent[a]]
-        return a
-
-    out = []
-    for a, b in links:
-        x, y = find(a), find(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
-def shard_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between the rows of a shard, enough to connect all within ``radius`` of each other."""
-    forest, links = Forest(radius, prints.shape[1]), []
-    for i in range(0, len(prints), BLOCK):
-        links = spanning(links + forest.add(prints[i : i + BLOCK], i))
-    return links
-
-
-def leaf_links(shard: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within ``radius`` of many small shards at once; rows are in order of their shard."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at = np.arange(len(shard))
-    for k in range(1, LEAF):
-        at = at[at < len(shard) - k]
-        at = at[shard[at] == shard[at + k]]
-        if not len(at):
-            break
-        d = np.bitwise_count(prints[at] ^ prints[at + k]).sum(axis=1, dtype=np.int32)
-        hit = at[d <= radius]
-        a.append(hit)
-        b.append(hit + k)
+    def __init__(self, shard: np.ndarray, prints: np.ndarray):
+        n = len(shard)
+        self.prints, self.wide = prints, 64 * prints.shape[1] + 1
+        self.visited = 0
+        place = np.unique(shard, return_inverse=True)[1].astype(np.int64)
+        left = np.argsort(place, kind="stable")
+        group = place[left]
+        first = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+        self.root = np.zeros(n, np.int64)
+        self.root[left] = np.repeat(left[first], np.diff(np.append(np.flatnonzero(first), n)))
+        parent, key, same = np.full(n, -1), np.zeros(n, np.int64), np.full(n, -1)
+        while len(left):
+            head = np.concatenate(([True], group[1:] != group[:-1]))
+            node = left[np.maximum.accumulate(np.where(head, np.arange(len(left)), 0))][~head]
+            left = left[~head]
+            d = hamming(prints[left], prints[node])
+            same[left[d == 0]] = node[d == 0]
+            left, node, d = left[d > 0], node[d > 0], d[d > 0]
+            parent[left], key[left] = node, d
+            group = node * self.wide + d
+            order = np.argsort(group, kind="stable")
+            left, group = left[order], group[order]
+        self.same = np.flatnonzero(same >= 0), same[same >= 0]
+        child = np.flatnonzero((parent >= 0) & (same < 0))
+        edge = parent[child] * self.wide + key[child]
+        order = np.argsort(edge, kind="stable")
+        self.child, self.edge = child[order], edge[order]
+
+    def near(self, rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, earlier node) of all pairs within each row's reach. At distance d from a node, only edges of d - reach to d + reach are followed."""
+        q, r, node = rows, reach, self.root[rows]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(q):
+            early = node < q  # what is below a node is later than it
+            q, r, node = q[early], r[early], node[early]
+            self.visited += len(q)
+            d = hamming(self.prints[q], self.prints[node])
+            hit = d <= r
+            a.append(q[hit])
+            b.append(node[hit])
+            low = np.searchsorted(self.edge, node * self.wide + np.maximum(0, d - r))
+            n = np.searchsorted(self.edge, node * self.wide + np.minimum(self.wide - 1, d + r), side="right") - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            q, r, node = np.repeat(q, n), np.repeat(r, n), self.child[at]
+        return np.concatenate(a), np.concatenate(b)
+
+
+def shard_links(shard: np.ndarray, prints: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of the same shard, enough to connect all that are within their reach of each other."""
+    trees = Trees(shard, prints)
+    _, place, size = np.unique(shard, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero((size[place] > 1) & (trees.root != np.arange(len(shard))))
+    rows = np.setdiff1d(rows, trees.same[0])
+    a, b = [trees.same[0]], [trees.same[1]]
+    block = np.cumsum(size[place[rows]]) // FRONTIER
+    for part in np.split(rows, np.flatnonzero(np.diff(block)) + 1):
+        x, y = trees.near(part, reach[part])
+        if len(x) > 4 * len(part):
+            x, y = stars(x, y)
+        a.append(x)
+        b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
-def link_shards(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (shard, node, print), in order of their shard, to links (a, b) of nodes. A shard may span batches."""
-
-    def flush(shard: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
-        size = np.diff(np.concatenate((starts, [len(shard)])))
-        small = np.repeat(size <= LEAF, size)
-        at = np.flatnonzero(small)
-        a, b = leaf_links(shard[at], prints[at], radius)
-        a, b = [at[a]], [at[b]]
-        for s, n in zip(starts[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-            found = np.array(shard_links(prints[s : s + n], radius), np.int64).reshape(-1, 2) + s
-            a.append(found[:, 0])
-            b.append(found[:, 1])
-        a, b = node[np.concatenate(a)], node[np.concatenate(b)]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+def link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (shard, node, print, reach), in order of their shard, to links (a, b) of nodes. A shard may span batches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            rows = (batch.column("shard").to_numpy(), batch.column("node").to_numpy(), prints)
-            if held and (held[-1][0][-1] != rows[0][-1]):
-                end = int(np.searchsorted(rows[0] != held[-1][0][-1], True)) if rows[0][0] == held[-1][0][-1] else 0
-                yield flush(*(np.concatenate(x) for x in zip(*held, tuple(r[:end] for r in rows), strict=True)))
-                held = [tuple(r[end:] for r in rows)]
-            else:
-                held.append(rows)
-        if held:
-            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    def flush(shard: np.ndarray, node: np.ndarray, prints: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+        a, b = shard_links(shard, prints, reach)
+        a, b = node[a], node[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return run
+    held: list[tuple] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        rows = (batch.column("shard").to_numpy(), batch.column("node").to_numpy(), prints, batch.column("reach").to_numpy().astype(np.int64))
+        end = int(np.searchsorted(rows[0] != held[-1][0][-1], True)) if held else 0
+        if held and end < batch.num_rows:  # what is held is whole with the rows up to end
+            yield flush(*(np.concatenate(x) for x in zip(*held, tuple(r[:end] for r in rows), strict=True)))
+            held = []
+        held.append(tuple(r[end:] for r in rows) if not held else rows)
+    if held:
+        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    trim()
+
+
+def large(rows: DataFrame, most: int) -> DataFrame | None:
+    """(shard, _count) of the shards of over ``most`` rows, broadcast if it is a list of up to HOT; None if there are none."""
+    hot = cut(rows.groupBy("shard").agg(F.count("*").alias("_count")).where(F.col("_count") > most))
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= HOT else hot
 
 
-def link(keyed: DataFrame, second: "F.Column", radius: int) -> DataFrame:
-    """Links (a, b) between nodes whose prints are within ``radius`` in a shard. keyed: shard, node, print, more.
+def crossed(rows: DataFrame) -> DataFrame:
+    """rows (shard, node, major, more) dealt into cells, of about 2 TILE rows, in which every two rows of a shard meet unless both are major.
 
-    Shards of over SHARD rows are dealt out again by (shard, each element of ``second``): a column of arrays of long
-    such that two linked rows of a shard have an element in common; rows without any stay together.
+    The other rows, the minor ones, go to the cells of all tiles of major rows, and to those of each two tiles of their
+    own; major rows to one cell for each tile of minor ones. What is in one cell alone is left out.
     """
-    hot = cut(keyed.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.lit(True).alias("_hot")))
-    n = hot.count()
-    keyed = keyed.join(F.broadcast(hot) if n <= HOT else hot, "shard", "left") if n else keyed.withColumn("_hot", F.lit(False))
-    dealt = keyed.select(F.explode(F.when(F.col("_hot") & (F.size(second) > 0), F.transform(second, lambda x: F.xxhash64("shard", x))).otherwise(F.array("shard"))).alias("shard"), "node", "print")
-    return dealt.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(link_shards(radius), "a long, b long")
+    sizes = cut(rows.groupBy("shard").agg(*(F.ceil(F.sum(F.when(m, 1).otherwise(0)) / TILE).cast("int").alias(c) for m, c in ((F.col("major"), "_majors"), (~F.col("major"), "_minors")))).where("_minors > 0"))
+    n = sizes.count()
+    sized = rows.join(F.broadcast(sizes) if n <= HOT else sizes, "shard")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("_majors")).otherwise(F.col("_minors"))).cast("int")  # a long hashes otherwise than an int
+    over = lambda count, f: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), f)).otherwise(F.array().cast("array<bigint>"))
+    mixed = lambda major, minor: F.xxhash64("shard", F.lit("mixed"), major, minor)
+    minor = F.concat(over("_majors", lambda t: mixed(t, own)), over("_minors", lambda t: F.xxhash64("shard", F.lit("minor"), F.least(own, t), F.greatest(own, t))))
+    cells = F.when(F.col("major"), over("_minors", lambda t: mixed(own, t))).otherwise(minor)
+    return sized.select(F.explode(cells).alias("shard"), *(c for c in rows.columns if c not in ("shard", "major")))
+
+
+def link(keyed: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes whose prints are within reach in a shard. keyed: shard, node, print, reach (the same within a shard), second.
+
+    Shards of over SHARD rows are dealt out again by (shard, each element of ``second``): an array of long such that two
+    linked rows of a shard have an element in common; rows without any stay together. A shard that is too large even then
+    is one of many copies, mostly: its rows are held against the smallest node's print, and only those that aren't near it
+    meet all others, in cells.
+    """
+    own = ("shard", "node", "print", "reach")
+    hot = large(keyed, SHARD)
+    if hot is None:
+        return dealt(keyed.select(*own))
+    second = F.when(F.col("_count").isNotNull() & (F.size("second") > 0), F.transform("second", lambda x: F.xxhash64("shard", x))).otherwise(F.array("shard"))
+    keyed = keyed.join(hot, "shard", "left").select(F.explode(second).alias("shard"), "node", "print", "reach")
+    hot = large(keyed, SHARD)
+    if hot is None:
+        return dealt(keyed)
+    crowd = keyed.join(hot, "shard", "left_semi")
+    pivots = crowd.groupBy("shard").agg(F.min(F.struct("node", "print")).alias("p")).select("shard", F.col("p.node").alias("_pivot"), F.col("p.print").alias("_print"))
+
+    @F.arrow_udf("boolean")
+    def within(a: pa.Array, b: pa.Array, reach: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
+        return pa.array(hamming(x, y) <= reach.to_numpy())
+
+    crowd = cut(crowd.join(F.broadcast(pivots) if hot.count() <= HOT else pivots, "shard").select(*own, "_pivot", within("print", "_print", "reach").alias("major")))
+    sure = crowd.where("major and node <> _pivot").select(F.col("node").alias("a"), F.col("_pivot").alias("b"))
+    cells = crossed(crowd.drop("_pivot"))
+    return dealt(keyed.join(hot, "shard", "left_anti").unionByName(cells)).unionByName(sure)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(link_shards, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -241,7 +250,7 @@ def groups(prints: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame
         return F.when(own == F.lit(k), F.lit(-1)).otherwise(F.shiftrightunsigned("fingerprint", bounds[k] + low).bitwiseAND(F.lit((1 << (high - low)) - 1)))
 
     rest = F.array(*(F.xxhash64(F.lit(i), *(part(k, i) for k in range(n))) for i in range(n)))
-    roots = connected(link(shards, rest, radius))
+    roots = connected(link(shards.select("shard", "node", "print", F.lit(radius).alias("reach"), rest.alias("second"))))
     named = distinct.join(roots, distinct.node == roots.node, "left").select("fingerprint", F.coalesce("root", distinct.node).alias("component_id"))
     return prints.join(named, "fingerprint")
 
@@ -325,29 +334,31 @@ def verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]]
     """From (shard, node, text), in order of their shard, to links (a, b) of nodes whose texts are similar, by their whole shingles."""
 
     def flush(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        links: list[tuple[int, int]] = []
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for i in range(0, len(sets), TILE):
             for j in range(i, len(sets), TILE):
-                a, b = tile_links(sets[i : i + TILE], sets[j : j + TILE], similarity)
-                keep = (a + i) < (b + j)
-                links = spanning(links + list(zip((a[keep] + i).tolist(), (b[keep] + j).tolist(), strict=True)))
-        ends = np.array([(nodes[a], nodes[b]) for a, b in links], np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], ["a", "b"])
+                x, y = tile_links(sets[i : i + TILE], sets[j : j + TILE], similarity)
+                keep = (x + i) < (y + j)
+                a, b = stars(np.concatenate((a, x[keep] + i)), np.concatenate((b, y[keep] + j)))
+        ends = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(ends[a], ends[b])), pa.array(np.minimum(ends[a], ends[b]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, nodes, sets, seen = None, [], [], set()
         for batch in batches:
             for s, n, t in zip(*(batch.column(c).to_pylist() for c in ("shard", "node", "text")), strict=True):
                 if s != shard and nodes:
-                    yield flush(nodes, sets)
+                    if len(nodes) > 1:
+                        yield flush(nodes, sets)
                     nodes, sets, seen = [], [], set()
                 shard = s
                 if n not in seen:
                     seen.add(n)
                     nodes.append(n)
                     sets.append(np.unique(shingle_hashes(t, width)))
-        if nodes:
+        if len(nodes) > 1:
             yield flush(nodes, sets)
+        trim()
 
     return run
 
@@ -361,62 +372,77 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     ANCHORS smallest shingle hashes (all pairs this similar have one in common but for 0.2**8 of them), and in a shard that is
     too large by another of the SPLIT smallest. Shorter texts, and what can be similar to them, meet by as many of their smallest
     hashes as any similar text must share one of, and by prints that lose no pair.
-    Within what candidates connect, whole shingle sets are compared exactly; a large group of them in pairs of tiles, so
-    that no task holds more than two. Equal words are equal texts: one stands for all. Null and empty texts have no words and are one group.
-    Texts of fewer words have one shingle, all of them.
+    Within what candidates connect, whole shingle sets are compared exactly. A large group of them is compared in tiles that
+    each hold the group's smallest node, too; what isn't connected with it then meets all others of its group in cells.
+    Equal words are equal texts: one stands for all. Null and empty texts have no words and are one group. Texts of fewer
+    words have one shingle, all of them. Repeated rows are one.
     """
     columns, most = docs.columns, int((SHORT - 1) / similarity + 1e-9)
-    tagged = docs.withColumns({"_norm": normal(text), "_row": F.xxhash64(*columns)})
+    tagged = docs.withColumns({"_row": F.xxhash64(*columns), "_mix": F.xxhash64(F.lit(SEED), *columns)})  # 128 bits that tell rows apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = projection()
         for batch in slices(batches, "_text", 1 << 20):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [np.unique(shingle_hashes(t, width)) for t in part.column("_text").to_pylist()]
+                texts = part.column("_text").to_pylist()
+                sets = [np.unique(shingle_hashes(t, width)) for t in texts]
                 prints, anchors = sketches(sets, signs)
                 small = [short_sketch(h, similarity, most) if 0 < len(h) <= most else None for h in sets]
                 first = [heads(h, similarity) if 0 < len(h) <= most else (h[:0], 0) for h in sets]
                 new = {
-                    "print": pa.array(prints, pa.binary()), "anchors": pa.array([x if len(h) >= SHORT else [] for x, h in zip(anchors, sets, strict=True)], pa.list_(pa.int64())),
+                    "size": pa.array(list(map(len, texts)), pa.int64()), "print": pa.array(prints, pa.binary()), "anchors": pa.array([x if len(h) >= SHORT else [] for x, h in zip(anchors, sets, strict=True)], pa.list_(pa.int64())),
                     "small": pa.array(small, pa.binary()), "heads": pa.array([h.view(np.int64).tolist() for h, _ in first], pa.list_(pa.int64())), "met": pa.array([n for _, n in first], pa.int32()),
                 }
-                yield pa.RecordBatch.from_arrays([part.column("_norm"), part.column("_key"), part.column("_row"), *new.values()], ["_norm", "_key", "_row", *new])
-
-    light = tagged.select("_norm", F.col(key).alias("_key"), "_row", utf8(text).alias("_text"))
-    drawn = light.mapInArrow(run, f"_norm string, _key {docs.schema[key].dataType.simpleString()}, _row long, print binary, anchors array<long>, small binary, heads array<long>, met int")
-    best = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("best")
-    distinct = cut(drawn.groupBy("_norm").agg(best, *(F.min(c).alias(c) for c in ("print", "anchors", "small", "heads", "met")))).withColumn("node", F.monotonically_increasing_id())
-    wide = distinct.select(F.explode(F.slice("anchors", 1, ANCHORS)).alias("shard"), "node", "print", F.col("anchors").alias("near"))
-    short = distinct.select(F.explode(F.slice("heads", F.lit(1), F.col("met"))).alias("shard"), "node", F.col("small").alias("print"), F.col("heads").alias("near"))
-    other = F.array_except("near", F.array("shard"))
-    near = link(wide, other, wide_radius(similarity - TOLERANCE)).unionByName(link(short, other, short_radius(similarity, most)))
-    loose = connected(near)
-
-    names = distinct.select("node", "_norm", F.col("best._key").alias("_best"), F.col("best._row").alias("_one"))
+                own = ("_norm", "_key", "_row", "_mix")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *new.values()], [*own, *new])
+
+    light = tagged.select(normal(text).alias("_norm"), F.col(key).alias("_key"), "_row", "_mix", utf8(text).alias("_text"))
+    drawn = light.mapInArrow(run, f"_norm string, _key {docs.schema[key].dataType.simpleString()}, _row long, _mix long, size long, print binary, anchors array<long>, small binary, heads array<long>, met int")
+    best = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row", "_mix")).alias("best")
+    distinct = cut(drawn.groupBy("_norm").agg(best, *(F.min(c).alias(c) for c in ("size", "print", "anchors", "small", "heads", "met")))).withColumn("node", F.monotonically_increasing_id())
+
+    def places(kind: str, keys: "F.Column", print_: str, near: str, reach: int) -> "F.Column":
+        shard = lambda x: F.struct(F.xxhash64(F.lit(kind), x).alias("shard"), F.col(print_).alias("print"), F.lit(reach).alias("reach"), F.array_except(near, F.array(x)).alias("second"))
+        return F.transform(keys, shard)
+
+    wide = places("wide", F.slice("anchors", 1, ANCHORS), "print", "anchors", wide_radius(similarity - TOLERANCE))
+    short = places("short", F.slice("heads", F.lit(1), F.col("met")), "small", "heads", short_radius(similarity, most))
+    loose = connected(link(distinct.select("node", F.explode(F.concat(wide, short)).alias("x")).select("node", "x.*")))
+
+    names = distinct.select("node", "size", F.col("best._row").alias("_row"), F.col("best._mix").alias("_mix"))
     members = cut(loose.join(names, "node"))
-    large = cut(members.groupBy("root").count().where(F.col("count") > EXACT).select("root", F.ceil(F.col("count") / TILE).cast("int").alias("_tiles")))
-    n = large.count()
-    sized = members.join(F.broadcast(large) if n <= HOT else large, "root", "left") if n else members.withColumn("_tiles", F.lit(None).cast("int"))
-    tile = F.pmod(F.xxhash64("node"), F.col("_tiles"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda u: F.xxhash64("root", F.least(tile, u), F.greatest(tile, u)))
-    dealt = F.when(F.col("_tiles").isNotNull(), tiles).otherwise(F.array("root"))
-    places = sized.select(F.explode(dealt).alias("shard"), "node", F.col("_norm").alias("_named"), "_one", "_best")
-    if members.count() <= FETCH:
-        places = F.broadcast(places)
-    bodies = tagged.select("_norm", "_row", F.col(key).alias("_key"), utf8(text).alias("text"))
-    own = (F.col("_norm") == F.col("_named")) & (F.col("_row") == F.col("_one")) & F.col("_key").eqNullSafe(F.col("_best"))
-    texts = bodies.join(places, own).select("shard", "node", "text")
-    sure = texts.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(verify(width, similarity), "a long, b long")
-    roots = connected(sure)
+    sizes = members.groupBy("root").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    tiles = F.ceil(F.greatest(F.col("_n") / TILE, F.col("_size") / TILE_BYTES)).cast("int").alias("_tiles")
+    crowds = cut(sizes.where(f"_n > {EXACT} or _size > 2 * {TILE_BYTES}").select("root", tiles))
+    n = crowds.count()
+    crowd = F.broadcast(crowds) if n <= HOT else crowds
+    sized = members.join(crowd, "root", "left") if n else members.withColumn("_tiles", F.lit(None).cast("int"))
+    tile = lambda t: F.xxhash64("root", F.lit("tile"), t)
+    whole = F.transform(F.sequence(F.lit(0), F.col("_tiles") - 1), tile)  # the group's smallest node is in every tile
+    shards = F.when(F.col("_tiles").isNull(), F.array("root")).when(F.col("node") == F.col("root"), whole).otherwise(F.array(tile(F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Links of rows (shard, node, _row, _mix) whose texts are similar."""
+        held = F.broadcast(rows) if rows.count() <= FETCH else rows
+        texts = tagged.select("_row", "_mix", utf8(text).alias("text")).join(held, ["_row", "_mix"]).select("shard", "node", "text")
+        return texts.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(verify(width, similarity), "a long, b long")
+
+    roots = connected(compared(sized.select(F.explode(shards).alias("shard"), "node", "_row", "_mix")))
+    if n:
+        found = roots.select("node", F.col("root").alias("_found"))
+        rest = members.join(crowd, "root").join(found, "node", "left").select(F.col("root").alias("shard"), "node", "_row", "_mix", F.coalesce(F.col("_found") == F.col("root"), F.col("node") == F.col("root")).alias("major"))
+        roots = connected(compared(crossed(cut(rest))).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     grouped = distinct.join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
-    kept = grouped.groupBy("_group").agg(F.min(F.struct("best", "_norm")).alias("w")).select("w._norm", F.col("w.best._key").alias("_key"), F.col("w.best._row").alias("_row"))
-    kept = kept.select(F.col("_norm").alias("_named"), F.col("_key").alias("_best"), F.col("_row").alias("_one"))
-    same = (F.col("_norm") == F.col("_named")) & (F.col("_row") == F.col("_one")) & F.col(key).eqNullSafe(F.col("_best"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["_norm", "_row"]).select(*columns)
+    kept = grouped.groupBy("_group").agg(F.min("best").alias("w")).select("w._row", "w._mix")
+    return tagged.join(kept, ["_row", "_mix"], "left_semi").dropDuplicates(["_row", "_mix"]).select(*columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the smallest doc_id that links of 3 bits or fewer reach from it.
+
+    Null and empty texts have fingerprint zero; repeated rows give equal rows; no documents give no rows.
+    """
     found = groups(fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

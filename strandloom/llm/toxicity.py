@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,13 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from strandloom.llm.common import slices, table, utf8
+from strandloom.llm.common import shipped, slices, table, trim, utf8
 from strandloom.llm.simhash import shingle_hashes
 
 #: Labelled rows, at most, that the lexicon and the weights are learned from: so many of each label, by the hash of their id.
 TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
-#: Terms of the lexicon, at most; the shortest word that counts, the shortest that also counts misspelled.
-MAX_TERMS, MIN_LETTERS, MIN_FUZZY = 400, 4, 5
+#: The shortest word that counts, the shortest that also counts misspelled.
+MIN_LETTERS, MIN_FUZZY = 4, 5
 #: A stem stands for all words that begin with it; it takes so many different words to be one.
 STEM_LETTERS, STEM_WORDS = range(4, 9), 3
 #: Share of a stem's texts that a longer stem must have to stand for it.
@@ -28,10 +29,14 @@ SHARED = 0.9
 WINDOW = 15
 #: Share of the strongest term's evidence under which a term has to tell texts that no stronger one does.
 WEAK = 0.2
+#: Characters that are turned into arrays at once.
+PART = 1 << 20
 #: Signs that may replace a letter inside a word.
 INSIDE = "@$*!|"
 #: Log odds of a term that is worth a whole hit; less counts in proportion.
 SURE = 4.0
+#: Misspelled forms of a term in toxic texts that an innocent word near it weighs as much as: where there is one, more are unseen.
+NEIGHBOUR = 4
 FEATURES = ("plain", "stem", "fuzzy", "quoted", "dense")
 
 
@@ -49,7 +54,8 @@ class Automaton:
     Terms that end in * are stems: whatever begins with one is accepted. States: 0 is dead, 1 the start.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], exact: set[str] = frozenset()):
+        """exact: the terms that nothing else stands for."""
         self.terms = terms
         children: list[dict[str, int]] = [{}]
         ends: list[int] = [-1]
@@ -65,7 +71,7 @@ class Automaton:
             ends[at] = k
             if term.endswith("*"):
                 stems.add(at)
-        long = {k for k, t in enumerate(terms) if not t.endswith("*") and len(t) >= MIN_FUZZY}
+        long = {k for k, t in enumerate(terms) if not t.endswith("*") and len(t) >= MIN_FUZZY and t not in exact}
         # Nodes from which a term that may be misspelled can be reached.
         reach = [ends[i] in long for i in range(len(children))]
         for i in reversed(range(len(children))):
@@ -129,13 +135,27 @@ class Automaton:
 class Model:
     """An automaton with the weights of its hits."""
 
-    def __init__(self, odds: dict[str, float]):
-        self.automaton = Automaton(list(odds))
+    def __init__(self, odds: dict[str, float], innocent: dict[str, float] | None = None):
+        """innocent: words near terms that say nothing; they are found as themselves, with no weight, and so not as misspelled terms."""
+        weights = odds | {w: 0.0 for w in innocent or () if w not in odds}
+        self.automaton = Automaton(list(weights), set(weights) - set(odds))
         self.codes = self.automaton.tables()
-        self.odds = np.array([min(1.0, x / SURE) for x in odds.values()])  # weight of a hit of each term
-        self.fuzzy = np.ones(len(odds))  # 0 where its misspelled forms don't count
+        self.odds = np.array([min(1.0, x / SURE) for x in weights.values()])  # weight of a hit of each term
+        self.fuzzy = np.ones(len(weights))  # weight of a hit that is misspelled, beside that
         self.weights = np.zeros(len(FEATURES) + 1)
 
+    def state(self) -> dict:
+        """The model as numbers and texts alone, as it goes from the task that fits it to the driver."""
+        a = self.automaton
+        return {"automaton": {k: getattr(a, k) for k in ("terms", "classes", "table", "kind", "term")}} | {k: getattr(self, k) for k in ("odds", "fuzzy", "weights")}
+
+    @classmethod
+    def of(cls, state: dict) -> "Model":
+        model, automaton = cls.__new__(cls), Automaton.__new__(Automaton)
+        automaton.__dict__.update(state["automaton"])
+        model.__dict__.update({k: v for k, v in state.items() if k != "automaton"}, automaton=automaton, codes=automaton.tables())
+        return model
+
     def hits(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """Of all words that are hits: text, word number, start and end in it, term, kind, and whether it stands in quotes."""
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -164,12 +184,16 @@ class Model:
         text = np.searchsorted(ends, start[word], side="right")
         first = np.searchsorted(start, np.concatenate(([0], ends[:-1])))  # a text's first word
         # Quotes open and close within a line.
-        marks = (raw == 0x22).astype(np.int64)
-        line = np.maximum.accumulate(np.where(raw == 0x0A, np.arange(len(raw)), 0))
-        plain = np.cumsum(marks)
-        paired = np.cumsum(((raw == 0x201C) | (raw == 0xAB) | (raw == 0x201E)).astype(np.int64) - ((raw == 0x201D) | (raw == 0xBB)))
         s = start[word]
-        quoted = ((plain[s] - plain[line[s]]) % 2 == 1) | (paired[s] - paired[line[s]] > 0)
+        lines = np.concatenate(([-1], np.flatnonzero(raw == 0x0A)))
+        line = lines[np.searchsorted(lines, s) - 1]
+
+        def before(*marks: int) -> np.ndarray:
+            """How many of the marks stand in a hit's line before it."""
+            at = np.flatnonzero(np.isin(raw, marks)) if len(marks) > 1 else np.flatnonzero(raw == marks[0])
+            return np.searchsorted(at, s) - np.searchsorted(at, line)
+
+        quoted = (before(0x22) % 2 == 1) | (before(0x201C, 0xAB, 0x201E) > before(0x201D, 0xBB))
         base = np.concatenate(([0], ends[:-1]))[text]
         return text, word - first[text], s - base, end[word] - base, a.term[state[word]], a.kind[state[word]], quoted
 
@@ -192,6 +216,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def parts_of(texts: list[str], most: int = PART) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of runs of texts of about ``most`` characters; a longer text is a run of its own."""
+    first = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > most:
+            yield first, texts[first:i]
+            first, total = i, 0
+        total += len(t)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def stems(word: str) -> list[str]:
     return [word[:n] + "*" for n in STEM_LETTERS if n < len(word)]
 
@@ -269,29 +305,50 @@ def lexicon(sample: Sample, rows: np.ndarray) -> dict[str, float]:
                 lone[t].add(sample.prints[i])
     out = [t for t in out if found[t] in strong or len(lone[found[t]]) >= 2]
     odds = lambda i: math.log((k1[i] + 0.5) / (n1 + 1) * (n0 + 1) / (k0[i] + 0.5))
-    return {t: odds(found[t]) for t in sorted(sorted(out, key=lambda t: (-own[found[t]], t))[:MAX_TERMS])}
+    return {t: odds(found[t]) for t in sorted(out)}
+
+
+def neighbours(model: Model, texts: list[str], toxic: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
+    """(innocent words, weight of each term's misspelled forms) from the words of texts that are one edit from a term.
+
+    A form is innocent if its share of clean texts that have it is a tenth of that of toxic ones or more: an ordinary word,
+    whatever it is near. A term's other forms count by how many of them there are beside its innocent ones.
+    """
+    seen: dict[tuple[str, str], list[set]] = defaultdict(lambda: [set(), set()])
+    for at, part in parts_of(texts):
+        for t, _, s, e, term, kind, quoted in zip(*(x.tolist() for x in model.hits(part)), strict=True):
+            if kind == 3 and not quoted:
+                seen[model.automaton.terms[term], part[t][s:e].lower()][int(toxic[at + t])].add(at + t)
+    n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
+    innocent, told, plain = {}, defaultdict(int), defaultdict(int)
+    for (term, form), (clean, bad) in seen.items():
+        if len(clean) * n1 > 0.1 * len(bad) * n0:
+            innocent[form] = 0.0
+            plain[term] += 1
+        else:
+            told[term] += 1
+    return innocent, {t: (told[t] + 1) / (told[t] + 1 + NEIGHBOUR * plain[t]) for t in model.automaton.terms}
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Learns lexicon and weights. The weights come from hits of a lexicon that the other half of the rows gave."""
     sample = Sample(texts, toxic)
     half = (sample.prints % np.uint64(2)).astype(np.int64)
-    model = Model(lexicon(sample, np.arange(len(texts))))
-    hits = [(at + part[0], part[4], part[5]) for at in range(0, len(texts), 200) for part in [model.hits(texts[at : at + 200])]]
-    text, term, kind = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in zip(*hits, strict=True)) if hits else [np.zeros(0, np.int64)] * 3
-    # Misspelled forms count unless clean texts have forms like them: of this term, or of one that begins alike.
-    begun: dict[str, int] = defaultdict(int)
-    for i, k in {*zip(text[kind == 3].tolist(), term[kind == 3].tolist(), strict=True)}:
-        begun[model.automaton.terms[k][:MIN_LETTERS]] += 1 - int(toxic[i])
-    usable = lambda t: float(begun[t[:MIN_LETTERS]] == 0)
-    model.fuzzy = np.array([usable(t) for t in model.automaton.terms])
+
+    def learned(rows: np.ndarray) -> Model:
+        odds = lexicon(sample, rows)
+        innocent, fuzzy = neighbours(Model(odds), [texts[i] for i in rows.tolist()], toxic[rows])
+        model = Model(odds, innocent)
+        model.fuzzy = np.array([fuzzy.get(t, 1.0) for t in model.automaton.terms])
+        return model
+
+    model = learned(np.arange(len(texts)))
     x, y = [np.zeros((0, len(FEATURES)))], [np.zeros(0)]
     for h in (0, 1):
         own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
-        part = Model(lexicon(sample, other))
-        part.fuzzy = np.array([usable(t) for t in part.automaton.terms])
+        part = learned(other)
         if len(own):
-            x += [part.features([texts[i] for i in own[at : at + 200]]) for at in range(0, len(own), 200)]
+            x += [part.features(ts) for _, ts in parts_of([texts[i] for i in own])]
             y.append(toxic[own])
     x, y = np.concatenate(x), np.concatenate(y)
     z = np.column_stack((np.ones(len(x)), x))
@@ -305,6 +362,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     w[1:] = np.maximum(w[1:], 0.0)
     w[0] = min(w[0], -0.5)  # a text without hits is clean
     w[1:4] = np.maximum(w[1:4], 0.5 - w[0])  # one with a single sure hit outside quotes isn't
+    w[3] = min(w[3], w[1])  # a misspelled word says no more than the word
     model.weights = w
     return model
 
@@ -314,29 +372,47 @@ def held_out(key: str = "doc_id") -> "F.Column":
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fold: "F.Column | None" = None) -> Model:
-    """Fits on TRAIN_TOXIC and TRAIN_CLEAN labelled rows at most, those with the lowest hashes of their ids, none held out."""
+    """Fits on TRAIN_TOXIC and TRAIN_CLEAN labelled rows at most, those with the lowest hashes of their ids, none held out.
+
+    Texts are gathered, and the model is fitted, in one task; only the model comes to the driver. Ids without a text or
+    labelled otherwise than 0 or 1 don't count, repeated labels count once, and of texts with the same id the least in
+    order does. Without any labelled text, or with one label alone, no text has a hit.
+    """
     learn = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~F.coalesce(held_out(key) if fold is None else fold, F.lit(True)))
     parts = [learn.where(F.col(label) == y).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").where("_text is not null").groupBy("_key", "_y").agg(F.min("_text").alias("_text")).toArrow()  # one text an id
-    order = np.lexsort((rows["_y"].to_numpy(), rows["_key"].to_numpy()))
-    texts, y = rows["_text"].to_pylist(), rows["_y"].to_numpy()
-    return fit([texts[i] for i in order], y[order].astype(np.int64))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(chosen, "_key").where("_text is not null").groupBy("_key", "_y").agg(F.min("_text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("_key", pa.string()), ("_y", pa.int32()), ("_text", pa.string())]))
+        order = sorted(zip(*(rows[c].to_pylist() for c in ("_key", "_y", "_text")), strict=True))
+        model = fit([t for _, _, t in order], np.array([y for _, y, _ in order], np.int64))
+        del rows, order
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.state())], pa.binary())], ["model"])
+
+    fitted = rows.select(F.col("_key").cast("string"), "_y", "_text").coalesce(1).mapInArrow(run, "model binary").first()
+    return Model.of(pickle.loads(bytes(fitted.model))) if fitted else fit([], np.zeros(0, np.int64))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Docs with a column ``score`` from 0 to 1; one of that name is replaced. Null and empty texts count as without hits."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            parts = [held.value.score([t.decode() for t in part.column(0).to_pylist()]) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t")]
+            parts = [held().score([t.decode() for t in part.column(0).to_pylist()]) for part in slices(iter([pa.RecordBatch.from_arrays([column], ["t"])]), "t", PART)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
 
     return docs.withColumn(score, F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)(utf8(text)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity: doc_id, held_out, score from 0 to 1, and predicted, 1 from 0.5.
+
+    Null and empty texts score as texts without hits, repeated rows give equal rows, and no documents no rows. Labels of
+    ids whose crc32 is divisible by 5 are never learned from; without any label every score is that of a text without hits.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
