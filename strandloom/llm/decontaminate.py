@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import slices, table, utf8
+from strandloom.llm.common import cut, shipped, slices, table, utf8
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 8
-#: Windows that are broadcast at once (about 100 bytes each); a larger benchmark is joined in several rounds.
-MAX_WINDOWS = 100_000
+#: Windows that are broadcast at once (about 100 bytes each); a larger benchmark is joined in several rounds. So many rounds
+#: follow one another within a stage, and are released after it.
+MAX_WINDOWS, ROUNDS = 100_000, 10
+#: Different words of a benchmark whose counts in the corpus order them, at most; the words of a larger one are ordered by its own counts.
+VOCABULARY = 1_000_000
 #: Documents that may be expected to hold the same items of under WINDOW words by chance, for such items to count as a leak.
 CHANCE = 0.01
 #: Every byte that is no word byte becomes a blank, A-Z becomes a-z; the rest, all of non-ASCII UTF-8 included, stays.
@@ -115,10 +118,12 @@ def scan(batches: Iterator[pa.RecordBatch], index: Index, more: bool) -> Iterato
 
 
 def vocabulary_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """How often the benchmark's words occur in all documents; one row for each of them at most reaches the driver."""
-    ids = {w: i for i, w in enumerate(sorted(vocabulary))}
+    """How often these words occur in all documents; one row for each of them at most reaches the driver."""
+    names = sorted(vocabulary)
+    held = shipped(docs.sparkSession, {w: i for i, w in enumerate(names)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = held()
         total = np.zeros(len(ids) + 1, np.int64)
         for batch in slices(batches, "_text"):
             for t in batch.column("_text").to_pylist():
@@ -127,9 +132,22 @@ def vocabulary_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dic
         at = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["w", "n"])
 
-    rows = docs.select(utf8(text).alias("_text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    names = sorted(vocabulary)
-    return {names[r.w]: r.n for r in rows}
+    rows = docs.select(utf8(text).alias("_text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    return {names[w]: n for w, n in zip(rows["w"].to_pylist(), rows["n"].to_pylist(), strict=True)}
+
+
+def word_totals(texts: DataFrame, text: str) -> DataFrame:
+    """(word, n) over all rows, summed in each task first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            total: dict[bytes, int] = {}
+            for t in batch.column("_text").to_pylist():
+                for w in words(t):
+                    total[w] = total.get(w, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    return texts.select(utf8(text).alias("_text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -138,24 +156,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     A word is hit if it lies inside any occurrence of a window of a benchmark item; items holds those with an occurring window.
     Null and empty texts have no words: 0, 0 and no items. Repeated rows give equal rows, repeated items count once by their id.
     An empty benchmark hits nothing. Columns of docs named like the new ones are replaced.
-    The benchmark is taken in item order in rounds of about ``max_windows`` windows; each is broadcast, and the rounds follow
-    one another over the same rows within one stage.
+    The benchmark comes to the driver in item order, ``max_windows`` windows and an item at a time; each round's are broadcast,
+    and the rounds follow one another over the same rows, ROUNDS of them within one stage. One pass counts the words of all.
     """
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*NEW, text, "_text", "_hits")]
-    rounds: list[list] = [[]]
-    for row in benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).orderBy("i").toLocalIterator():
-        if len(rounds[-1]) >= max_windows:
-            rounds.append([])
-        rounds[-1] += windows_of([(row.i, bytes(row.t))])
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
+    totals = cut(word_totals(items, "t"))
+    n = totals.count()
+    counts = {bytes(r.word): r.n for r in totals.toLocalIterator()} if n <= VOCABULARY else None
+    if counts:
+        counts = vocabulary_counts(docs, text, set(counts))
+    held = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     found = docs.select(*keep, utf8(text).alias("_text"))
-    for k, windows in enumerate(rounds):
-        counts = vocabulary_counts(docs, text, {w for _, ws in windows for w in ws}) if windows else {}
-        index, more = spark.sparkContext.broadcast(Index(windows, counts)), k < len(rounds) - 1
+    done = 0
+
+    def searched(windows: list[tuple[str, tuple[bytes, ...]]], more: bool) -> DataFrame:
+        own = counts
+        if own is None:
+            own = {}
+            for w in (w for _, ws in windows for w in ws):
+                own[w] = own.get(w, 0) + 1
+        index = shipped(spark, Index(windows, own))
         new = "items array<string>, " + ("_text binary, _hits binary" if more else "n_words long, n_hit long")
-        held = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-        found = found.mapInArrow(lambda b, index=index, more=more: scan(b, index.value, more), held + new)
-    return found
+        return found.mapInArrow(lambda b: scan(b, index(), more), held + new)
+
+    windows: list = []
+    for row in items.orderBy("i").toLocalIterator():
+        if len(windows) >= max_windows:
+            found, windows, done = searched(windows, True), [], done + 1
+            if done % ROUNDS == 0:
+                found = cut(found)
+        windows += windows_of([(row.i, bytes(row.t))])
+    return searched(windows, False)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -175,13 +208,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         counts = vocabulary_counts(docs, text, {w for ws in split.values() for w in ws})
         total = max(1, found.agg(F.sum("n_words")).first()[0] or 0)
         chance = {x: sum(math.log(counts[w] / total) for w in ws) for x, ws in split.items() if all(w in counts for w in ws)}
-        held = docs.sparkSession.sparkContext.broadcast(chance)
+        held = shipped(docs.sparkSession, chance)
 
         @F.arrow_udf("boolean")
         def leaks(items: pa.Array, n_words: pa.Array) -> pa.Array:
             out = []
             for own, n in zip(items.to_pylist(), n_words.to_pylist(), strict=True):
-                expected = math.log(total / max(1, n)) + sum(min(0.0, math.log(max(1, n)) + held.value[x]) for x in own if x)
+                expected = math.log(total / max(1, n)) + sum(min(0.0, math.log(max(1, n)) + held()[x]) for x in own if x)
                 out.append("" in own or (bool(own) and expected < math.log(CHANCE)))
             return pa.array(out, pa.bool_())
 
@@ -190,6 +223,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words that benchmark windows cover, and the items with such windows; contaminated from two items.
+
+    Null and empty texts have no words and no items; repeated rows give equal rows; no documents give no rows, and an empty
+    benchmark hits nothing.
+    """
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n = F.size("items").cast("long")
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
