@@ -339,4 +339,5 @@ def features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text as a baseline JPEG and what is read back from it. Null texts are empty, equal texts have equal values, and no documents give no rows."""
     return features(media(table(spark, sf_dir, "documents")))

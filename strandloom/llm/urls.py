@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from strandloom.llm.common import table
+from strandloom.llm.common import shipped, table
 
-#: Different labelled URLs, at most, that the trees learn from: those with the lowest hashes.
+#: Different labelled URLs that the trees learn from, give or take some per cent; all if there are fewer.
 TRAIN_URLS = 20_000
 #: Trees, their depth, the bins of a feature, the step of each tree, and the least weight of a leaf.
 TREES, DEPTH, BINS, RATE, LEAF = 60, 3, 32, 0.2, 5.0
@@ -153,12 +153,19 @@ def boost(urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarr
 
 
 def train(pages: DataFrame, url: str = "url", rules: tuple = RULES) -> Trees:
-    """Fits the trees on URLs that a rule labels, TRAIN_URLS different ones at most."""
+    """Fits the trees on URLs that a rule labels, about TRAIN_URLS different ones, those with the lowest hashes; no more come to the driver.
+
+    Null URLs and those without a rule don't count, repeated ones count once. Without any, every score is 0.
+    """
     host, path = split_url("_url")
     named = pages.select(F.col(url).alias("_url")).where("_url is not null").select("_url", host.alias("_host"), path.alias("_path"))
     rule, verdict = matched(rules, "_host", "_path")
-    labelled = named.select("*", rule.alias("_rule"), verdict.alias("_verdict")).where("_verdict is not null").distinct()
-    rows = labelled.orderBy(F.xxhash64("_url"), "_url").limit(TRAIN_URLS).collect()
+    labelled = named.select("*", rule.alias("_rule"), verdict.alias("_verdict")).where("_verdict is not null")
+    # The share of hashes that this many different URLs have, by an estimate of how many there are.
+    share = TRAIN_URLS / max(1, labelled.agg(F.approx_count_distinct("_url", 0.02)).first()[0])
+    if share < 1:
+        labelled = labelled.where(F.shiftrightunsigned(F.xxhash64("_url"), 1) < F.lit(int(share * 2**63)))
+    rows = sorted(labelled.distinct().collect(), key=lambda r: r._url)
     return boost([r._url for r in rows], [r._host for r in rows], [r._path for r in rows], np.array([r._verdict == "block" for r in rows], bool), [r._rule for r in rows])
 
 
@@ -168,11 +175,11 @@ def judged(pages: DataFrame, url: str = "url", rules: tuple = RULES, model: Tree
     The longest rule that fits decides; where none does, ``block`` if the trees' probability is 0.5 or more, else ``allow``.
     Null URLs and those without ``://`` have empty host and path, fit no rule and are judged by the trees.
     """
-    trees = pages.sparkSession.sparkContext.broadcast(model or train(pages, url, rules))
+    trees = shipped(pages.sparkSession, model or train(pages, url, rules))
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for u, h, p in batches:
-            yield pa.array(trees.value.score(u.to_pylist(), h.to_pylist(), p.to_pylist()), pa.float64())
+            yield pa.array(trees().score(u.to_pylist(), h.to_pylist(), p.to_pylist()), pa.float64())
 
     score = F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)
     host, path = split_url("_url")
@@ -183,5 +190,6 @@ def judged(pages: DataFrame, url: str = "url", rules: tuple = RULES, model: Tree
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host, path, rule, verdict and score. Null URLs and those without ``://`` have an empty host and path and no rule; repeated rows give equal rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judged(pages).select("page_id", "host", "path", "rule", "verdict", "score")
