@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm import bpe, decontaminate, jpeg, langid, licenses, pii, simhash, toxicity, urls, warc
-from strandloom.llm.common import connected
+from strandloom.llm import bpe, common, decontaminate, jpeg, langid, licenses, pii, simhash, toxicity, urls, warc
+from strandloom.llm.common import connected, stars
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ALL_COLUMNS = ("score", "items", "n_words", "host", "licenses", "text2", "ids", "node", "root", "shard", "count")
@@ -64,7 +64,7 @@ def test_pii_spans_against_plain_patterns(spark):
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 40))) for _ in range(1500)] + ODD + ["a@b.c_d@e.f@g.h", "1.2.3.4.5.6.7.8", "9" * 5000, "a" * 50_000 + "@b.c", "x@y.z " * 700, "+" * 3000]
     found = pii.found_in(frame(spark, texts).select("doc_id", "text"))
     place = lambda k: F.transform(f"_s_{k}", lambda x: F.concat_ws(":", F.lit(k), x["start"].cast("string"), x["end"].cast("string")))
-    got = {r.doc_id: r.s for r in found.select("doc_id", F.concat(*(place(k) for k in pii.KINDS)).alias("s")).collect()}
+    got = {r.doc_id: r.s for r in found.select("doc_id", F.concat(*(place(k) for k in pii.BASE)).alias("s")).collect()}
     assert all(got[i] == entities(t) for i, t in enumerate(texts))
 
 
@@ -80,11 +80,57 @@ def test_pii_words_that_reveal(spark):
     cues = {(r.kind, r.term): r.action for r in pii.disclosive(docs, base, "text").collect()}
     assert cues == {("email", "mailbox"): "remove", ("email", "then"): "remove"}
     hits = pii.found_in(docs).where(F.size("_terms") > 0).first()
-    assert [(t.start, t.end, t.term) for t in hits._terms][0] == (0, 7, "mailbox")
+    assert [(t.start, t.end) for t in hits._terms] == [(0, 7), (27, 31)]
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert clean[300] == " [EMAIL]  words" and clean[0] == texts[0]
 
 
+def test_pii_terms_against_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in "bcdfg" for b in ("an", "el", "or", "ul")]
+    hint = {"email": "mailto", "card": "visa", "secret": "Token", "ip": "host"}
+    make = {"email": lambda: f"u{rng.randrange(40)}@h.org", "card": lambda: "4111 1111 1111 1111", "ip": lambda: f"10.0.0.{rng.randrange(9)}", "secret": lambda: f"{rng.getrandbits(80):020x}a1"}
+    texts = []
+    for _ in range(400):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        for k in make:
+            if rng.random() < 0.15:
+                at = rng.randint(0, len(ws))
+                ws[at:at] = [hint[k], "=", make[k]()] if rng.random() < 0.8 else [make[k]()]
+        texts.append(" ".join(ws))
+        if rng.random() < 0.2:
+            texts.append(texts[-1])
+    docs = frame(spark, [*texts, None, ""])
+    counts, near, entities = {}, {}, {}
+    for i, t in enumerate(texts):
+        for w in set(re.findall("[a-z]+", t.lower())):
+            counts[w] = counts.get(w, 0) + 1
+        for k, p in (PATTERNS | {"secret": "(?<![A-Za-z0-9])(?=[a-z]*[0-9])(?=[0-9]*[a-z])[A-Za-z0-9]{20,128}(?![A-Za-z0-9])"}).items():
+            found = [m for m in re.finditer(p, t) if k == "secret" or good(k, m[0])]
+            window = set()
+            for m in found:
+                before, after = t[max(0, m.start() - 81) : m.start()], t[m.end() : m.end() + 81]
+                ws = [(x.start(), x[0]) for x in re.finditer("[A-Za-z]{2,}", before)]
+                window |= {w.lower() for at, w in ws if at > 0 or len(before) <= 80}
+                window |= {x[0].lower() for x in re.finditer("[A-Za-z]{2,}", after) if x.end() <= 80 or len(after) <= 80}
+            if found:
+                entities[k] = entities.get(k, 0) + 1
+                for w in window:
+                    near.setdefault((k, w), []).append(min(xxhash.xxh64_intdigest(m[0].encode(), 42) - 2**64 * (xxhash.xxh64_intdigest(m[0].encode(), 42) >= 2**63) for m in found))
+    n, want = len(texts) + 2, {}
+    for (k, w), prints in near.items():
+        if len(set(prints)) >= pii.SUPPORT:
+            npmi = np.log(len(prints) * n / (counts[w] * entities[k])) / -np.log(len(prints) / n)
+            if npmi >= pii.GENERALISE:
+                want[k, w] = "remove" if npmi >= pii.REMOVE else "generalise"
+    got = {(r.kind, r.term): r.action for r in pii.disclosive(docs, pii.analysed(docs, "text"), "text").collect()}
+    assert got == want and {("email", "mailto"), ("secret", "token"), ("ip", "host")} <= set(want) and ("card", "visa") not in want  # one card number only
+    terms = {r.doc_id: r._terms for r in pii.found_in(docs.select("doc_id", "text")).collect()}
+    assert {texts[i][x.start : x.end].lower() for i, ts in terms.items() if i < len(texts) for x in ts} <= {w for _, w in want}
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert clean[len(texts)] is None and clean[len(texts) + 1] == "" and not any("@" in clean[i] for i in range(len(texts)))
+
+
 def test_pii_sanitised_leaves_none(spark):
     texts = [*ODD, "call +1 555-123-4567 or 10.0.0.1, card 4111-1111-1111-1111. mail a@b.c, x@y.z", "999.1.1.1 stays"]
     out = {r.doc_id: r.text for r in pii.sanitised(frame(spark, texts)).collect()}
@@ -168,6 +214,26 @@ def test_warc_revisits(spark):
     assert warc.read_back(warc.archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    rows = [(i, f"http://a/{i % 7}", "page " * (i % 9) * 60) for i in range(120)] + [(200, None, None)]
+    stored = common.cut(warc.archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)))
+    warc.save(stored, f"file://{tmp_path}")
+    ids, refers = set(), {}
+    for f in tmp_path.iterdir():
+        records = list(warc.read_warc(f.read_bytes()))
+        assert f.name.endswith(".warc.gz") and records[0][0]["warc-type"] == "warcinfo" and records[0][0]["warc-filename"] == f.name
+        for fields, _ in records[1:]:
+            if fields["warc-type"] == "revisit":
+                refers[fields["warc-record-id"]] = fields["warc-refers-to"]
+            else:
+                ids.add(fields["warc-record-id"])
+    assert len(ids) + len(refers) == 121 and refers and set(refers.values()) <= ids
+    big = b"".join(warc.gzip_member(warc.to_warc(warc.Arc(1, {"url": f"http://a/{i}", "date": "1997", "ip": "0.0.0.0", "type": "text/plain"}, bytes(i % 251 for i in range(40_000))))) for i in range(60))
+    assert len(list(warc.read_warc(big))) == 60
+    with pytest.raises(ValueError):
+        list(warc.read_warc(big[:-5]))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_by_version(version):
     block = b"HTTP/1.1 200 OK\r\nX-Page-Id: 4\r\n\r\npayload\n\nwith lines"
@@ -270,27 +336,69 @@ def test_groups_against_all_pairs(spark, monkeypatch, shard):
     assert [got[i] for i in range(len(prints))] == components(prints, 3)
 
 
-def test_forest_loses_no_link():
+def test_trees_against_all_pairs():
     rng = np.random.RandomState(4)
     base = rng.randint(0, 2**63, size=(6, 1)).astype(np.uint64)
     prints = np.concatenate([b ^ (np.uint64(1) << rng.randint(0, 64, size=(220, 4)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)[:, None] for b in base])
+    prints = np.concatenate((prints, prints[:40], rng.randint(0, 2**63, size=(700, 1)).astype(np.uint64)))
     rng.shuffle(prints)
-    want = components([int(p) for p in prints[:, 0]], 3)
-    parent = list(range(len(prints)))
-    links = simhash.shard_links(prints, 3)
-    assert len(links) < len(prints)
-    for _ in range(len(prints)):
-        changed = False
-        for a, b in links:
-            low = min(parent[a], parent[b])
-            changed |= parent[a] != low or parent[b] != low
-            parent[a] = parent[b] = low
-        if not changed:
-            break
-    assert parent == want
-
-
-def test_connected_components(spark):
+    shard = rng.randint(0, 3, len(prints))
+    trees = simhash.Trees(shard, prints)
+    # every node but the roots hangs on an edge keyed by its distance, and edges of a node differ
+    parent, key = trees.edge // trees.wide, trees.edge % trees.wide
+    assert (simhash.hamming(prints[trees.child], prints[parent]) == key).all() and len(np.unique(trees.edge)) == len(trees.edge)
+    assert len(trees.child) + 3 + len(trees.same[0]) == len(prints)
+    for radius in (3, 9):
+        reach = np.full(len(prints), radius)
+        trees.visited = 0
+        rows = np.setdiff1d(np.arange(len(prints)), trees.same[0])
+        got = {(a, b) for a, b in zip(*(x.tolist() for x in trees.near(rows, reach[rows])), strict=True)}
+        want = {(i, j) for i in rows.tolist() for j in rows.tolist() if j < i and shard[i] == shard[j] and int(prints[i, 0] ^ prints[j, 0]).bit_count() <= radius}
+        assert got == want
+        if radius == 3:  # edges beyond the radius aren't followed
+            assert trees.visited < 0.8 * sum(shard[i] == shard[j] for i in rows for j in rows if j < i)
+        a, b = simhash.shard_links(shard, prints, reach)
+        apart = [components([int(p) for p in prints[shard == k, 0]], radius) for k in range(3)]
+        roots = dict(zip(*(x.tolist() for x in stars(a, b)), strict=True))
+        for k in range(3):
+            at = np.flatnonzero(shard == k)
+            assert [roots.get(i, i) for i in at.tolist()] == [int(at[r]) for r in apart[k]]
+
+
+def test_deduplicated_one_large_group(spark, monkeypatch):
+    """Near copies of one text beyond every limit are split and still one group, and so is what only some of them are similar to."""
+    for k, v in {"SHARD": 64, "EXACT": 60, "TILE": 16}.items():
+        monkeypatch.setattr(simhash, k, v)
+    rng = random.Random(9)
+    ws = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        own = list(ws)
+        own[rng.randrange(150)] = f"v{i}"
+        texts.append(" ".join(own))
+    far = list(ws)
+    for k in range(0, 24, 8):
+        far[k] = f"x{k}"
+        texts.append(" ".join(far))
+    texts += [" ".join(far[:130]), " ".join([*far[:120], *(f"y{i}" for i in range(30))])]
+    got = simhash.deduplicated(frame(spark, texts).repartition(16))
+    assert sorted(r.doc_id for r in got.collect()) == kept_exactly(texts)
+
+
+def test_crossed_cells_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    rows = [(s, s * 1000 + i, i >= minors) for s, minors in ((1, 0), (2, 3), (3, 21), (4, 40)) for i in range(40)]
+    cells = {}
+    for r in simhash.crossed(spark.createDataFrame(rows, "shard long, node long, major boolean")).collect():
+        cells.setdefault(r.shard, set()).add(r.node)
+    met = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    want = {(a, b) for s, a, x in rows for t, b, y in rows if s == t and a < b and not (x and y)}
+    assert want <= met and max(map(len, cells.values())) < 30 and not any(n // 1000 == 1 for c in cells.values() for n in c)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0, 90])
+def test_connected_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "CONTRACT", most)
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 6000 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -380,18 +488,26 @@ def test_deduplicated_ties(spark):
 # --- language
 
 
-def test_language_models(spark):
+def language_rows():
     rng = random.Random(12)
     syllables = {"aa": ["ka", "ri", "mo"], "bb": ["sto", "ve", "lin"], "cc": ["щу", "жа", "ой"]}
-    rows = [(i, " ".join("".join(rng.choice(syllables[x]) for _ in range(3)) for _ in range(12)), x) for i, x in enumerate(sorted(syllables) * 60)]
+    return [(i, " ".join("".join(rng.choice(syllables[x]) for _ in range(3)) for _ in range(12)), x) for i, x in enumerate(sorted(syllables) * 60)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"ROUND_GRAMS": 1, "ROUNDS": 1, "CELLS": 0}, {"MAX_GRAMS": 12}])
+def test_language_models(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(langid, k, v)
+    rows = language_rows()
     docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "karimo", None)], "doc_id long, text string, lang string")
     models = langid.train(docs)
-    assert models.names == ["aa", "bb", "cc"]
-    for x in models.languages:  # each context's probabilities add up to one over the alphabet
-        letters = np.unique(np.concatenate([langid.low(y.keys[1], 1) for y in models.languages]))
-        context = models.languages[0].context[4][:20]
+    assert models.names == ["aa", "bb", "cc"] and len(models.rounds) == (3 if "ROUNDS" in limits else 1)
+    languages = [x for r in models.rounds for x in r().languages]
+    letters = np.unique(np.concatenate([x.keys[1] for x in languages]))
+    for x in languages:  # each context's probabilities add up to one over the alphabet
+        context = languages[0].context[4][:20]
         total = sum(x.of(context << np.uint64(16) | c, 4) for c in letters)
-        assert np.allclose(total + x.of(context << np.uint64(16) | np.uint64(0xFFFF), 4), 1)
+        assert "MAX_GRAMS" in limits or np.allclose(total + x.of(context << np.uint64(16) | np.uint64(0xFFFF), 4), 1)
     found = {r.doc_id: r for r in langid.identified(clashing(docs), models).collect()}
     assert all(found[i].lang_pred == x and not found[i].rejected for i, _, x in rows) and found[901].lang_pred == "aa"
     odd = langid.identified(frame(spark, [None, "", "123 !?", "Q" * 70_000, "жа"]), models, keep=["doc_id"]).orderBy("doc_id").collect()
@@ -402,6 +518,46 @@ def test_language_models(spark):
     assert {r.lang_pred for r in langid.identified(docs, none).collect()} == {"und"}
 
 
+def test_language_entropies_against_plain_kneser_ney(spark):
+    rows = language_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id for r in docs.where(langid.held_out()).collect()}
+    counts = {}
+    for i, text, x in rows:
+        if i not in held:
+            own = counts.setdefault(x, {})
+            padded = "---" + re.sub("[^^a-zа-я]+".replace("^^", "^"), "-", text + "-")
+            for j in range(3, len(padded)):
+                own[padded[j - 3 : j + 1]] = own.get(padded[j - 3 : j + 1], 0) + 1
+    alphabet = len({g[-1] for own in counts.values() for g in own}) + 1
+
+    def probability(levels, g):
+        if not g:
+            return 1 / alphabet
+        own = levels[len(g)]
+        total = sum(n for k, n in own.items() if k[:-1] == g[:-1])
+        kinds = sum(k[:-1] == g[:-1] for k in own)
+        lower = probability(levels, g[1:])
+        return lower if not total else max(own.get(g, 0) - 0.75, 0) / total + 0.75 * kinds / total * lower
+
+    want = {}
+    for x, own in counts.items():
+        levels = {4: own}
+        for n in (3, 2, 1):
+            levels[n] = {}
+            for k in levels[n + 1]:
+                levels[n][k[1:]] = levels[n].get(k[1:], 0) + 1
+        for text in ("karimo stove", "щужа", "x y z"):
+            padded = "---" + text.replace(" ", "-") + "-"
+            want[x, text] = -np.mean([np.log(probability(levels, padded[j - 3 : j + 1])) for j in range(3, len(padded))])
+    models = langid.train(docs)
+    for text in ("karimo stove", "щужа", "x y z"):
+        assert np.allclose(models.rounds[0]().entropies([text])[0][0], [want[x, text] for x in models.names], atol=1e-5)
+        best = min(models.names, key=lambda x: want[x, text])
+        got = langid.identified(frame(spark, [text]), models).first()
+        assert got.lang_pred == best and abs(got.cross_entropy - want[best, text]) < 1e-5
+
+
 def test_language_grams():
     keys, text = langid.grams(["Ab, c", "", "é"], langid.folds())
     unpacked = ["".join(chr(int(k) >> s & 0xFFFF) for s in (48, 32, 16, 0)) for k in keys]
@@ -438,6 +594,27 @@ def test_licenses_of_one_block():
             assert [x[0] for x in got] == names and all(x[1] > 0 and x[2] == 0 for x in got)
 
 
+def test_license_blocks_lose_nothing():
+    """What blocks and ranks find is what all templates find in the whole text."""
+
+    class Whole(licenses.Scanner):
+        def blocks(self, words):
+            return [(0, len(words))] if words else []
+
+    rng, scanner, whole = random.Random(3), licenses.Scanner(), Whole()
+    for _ in range(40):
+        ws = [f"w{rng.randrange(50)}" for _ in range(30)]
+        for name in rng.sample(sorted(licenses.TEMPLATES), 2):
+            body = licenses.TEMPLATES[name].split()
+            for _ in range(rng.randint(0, len(body) // 8)):
+                k = rng.randrange(len(body))
+                body[k : k + rng.randint(0, 1)] = rng.choice([[], ["all"], ["rights"], ["license"]])
+            at = rng.randint(0, len(ws))
+            ws[at:at] = body
+        text = " ".join(ws).encode()
+        assert scanner.scan(text) == whole.scan(text)
+
+
 def test_licenses(spark):
     mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
     texts = [
