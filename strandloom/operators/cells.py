@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.lineage import cut
+
 
 def overlaps(a: DataFrame, b: DataFrame, width: int, least: int = 1, key: str | None = None, names: tuple = ("start", "end", "start2", "end2")) -> DataFrame:
     """Pairs of rows of a and b (of equal ``key``, if there is one) whose half-open intervals share at least ``least``.
@@ -38,7 +40,12 @@ def peak_counts(records: DataFrame, peaks: DataFrame, least: int = 1, width: int
     checked = F.when(F.col(tag).isNotNull() & (F.col(tag) != ""), F.col(tag)).otherwise(F.raise_error(F.lit(f"a record has no {tag}")).cast("string"))
     reads = records.select(F.col("rname").alias("chrom"), "start", "end", checked.alias("barcode"))
     places = distinct_peaks(peaks).select("chrom", F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("name").alias("peak"))
-    return overlaps(reads, places, width, least, "chrom").groupBy("peak", "barcode").agg(F.count("*").alias("n"))
+    return cell_counts(overlaps(reads, places, width, least, "chrom"))
+
+
+def cell_counts(rows: DataFrame, feature: str = "peak", column: str = "barcode") -> DataFrame:
+    """(feature, column, n): the cells of a sparse matrix that have a row at least."""
+    return rows.groupBy(feature, column).agg(F.count("*").alias("n"))
 
 
 def column_sums(cells: DataFrame, all_columns: DataFrame, column: str = "barcode", value: str = "n") -> DataFrame:
@@ -56,7 +63,7 @@ def ranked(counts: DataFrame, order: list, rank: str = "rank") -> DataFrame:
     parts = counts.sparkSession.sparkContext.defaultParallelism
     dealt = counts.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order)
     placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = placed.persist()
+    placed = cut(placed)  # a later action must see the same parts
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for p in sorted(sizes):
@@ -72,23 +79,29 @@ def rank_curve(counts: DataFrame, value: str, name: str) -> DataFrame:
     return ranked(counts.where(F.col(value) > 0), [F.desc(value), F.asc(name)])
 
 
-def knee(values: list[int], sensitivity: float = 1.0) -> tuple[int, int] | None:
-    """(rank, value) of the knee of a falling curve, by Kneedle: the first local maximum of the normalised distance from
-    the diagonal after which the distance falls below its threshold. None if there is none."""
-    y = np.array(values, float)
-    n = len(y)
-    if n < 3 or y.max() == y.min():
+def knee(values: list[int], ranks: list[int] | None = None, sensitivity: float = 1.0) -> tuple[int, int] | None:
+    """(rank, value) of the knee of a falling curve, by Kneedle for concave curves, online: the last found from the far end on.
+
+    The distance from the diagonal is followed from the highest rank to the lowest. A local maximum sets a threshold under
+    it, a local minimum one of 0; where the distance falls below the threshold, the last maximum is a knee. ranks: the
+    places of the values, if not all are given, so that a sample has the curve's own axis. None if there is none.
+    """
+    y, x = np.array(values, float), np.arange(1, len(values) + 1) if ranks is None else np.array(ranks)
+    if len(y) < 2 or y.max() == y.min():
         return None
-    x = np.arange(n) / (n - 1)
-    flipped = (y - y.min()) / (y.max() - y.min())
-    d = flipped + x - 1  # how far above the falling diagonal
-    tops = [i for i in range(1, n - 1) if d[i] >= d[i - 1] and d[i] > d[i + 1]]
-    for k, i in enumerate(tops):
-        threshold = d[i] - sensitivity / (n - 1)
-        until = tops[k + 1] if k + 1 < len(tops) else n
-        if (d[i + 1 : until] < threshold).any():
-            return i + 1, int(y[i])
-    return None
+    d = ((y - y.min()) / (y.max() - y.min()) + (x - 1) / (x[-1] - 1) - 1)[::-1]
+    edge = np.pad(d, 1, mode="edge")
+    top, bottom = (d >= edge[:-2]) & (d >= edge[2:]), (d <= edge[:-2]) & (d <= edge[2:])
+    at = found = None
+    threshold = 0.0
+    for i in range(len(d) - 1):
+        if top[i]:
+            at, threshold = i, d[i] - sensitivity / (x[-1] - 1)
+        if bottom[i]:
+            threshold = 0.0
+        if at is not None and d[i + 1] < threshold:
+            found = at
+    return None if found is None else (int(x[len(x) - 1 - found]), int(values[len(x) - 1 - found]))
 
 
 def checked_n(n: object, most: int) -> int | None:

@@ -74,16 +74,21 @@ def linear_stats(records: DataFrame, tag: str = "cb") -> DataFrame:
     return out
 
 
+def with_map(records: DataFrame, known: DataFrame, key: str = "qname", all_rows: bool = False) -> DataFrame:
+    """Records with the columns that a map has for their key; those without an entry are left out, or null with ``all_rows``."""
+    return records.join(known, key, "left" if all_rows else "inner")
+
+
 def tagged(records: DataFrame, barcodes: DataFrame, umis: DataFrame | None = None) -> DataFrame:
     """Placed records of known reads with CB, and UR and UB if there is a UMI map, and DU: 1 for later copies of a fragment.
 
     A fragment is (reference, start, signed template length, CB, and UB with a map); mates are told apart by their
     places. Reads without a barcode are left out; those without a UMI share none.
     """
-    placed = records.where("rname is not null and rname <> '*'").join(barcodes.select("qname", F.col("barcode").alias("CB")), "qname")
+    placed = with_map(records.where("rname is not null and rname <> '*'"), barcodes.select("qname", F.col("barcode").alias("CB")))
     keys = ["rname", "pos", "tlen", "CB"]
     if umis is not None:
-        placed = placed.join(umis, "qname", "left")
+        placed = with_map(placed, umis, all_rows=True)
         keys.append("UB")
     return first_seen(placed, keys, "ord")
 

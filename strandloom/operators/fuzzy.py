@@ -38,3 +38,8 @@ def close_pairs(entries: DataFrame, entry: str, budget: int) -> DataFrame:
     forms = entries.select(F.col(entry).alias("a")).where("a is not null").distinct().withColumn("_form", F.explode(deletions(F.col("a"), budget)))
     pairs = forms.join(forms.withColumnRenamed("a", "b"), "_form").where("a < b").select("a", "b").distinct()
     return pairs.withColumn("distance", F.levenshtein(F.col("a"), F.col("b"), budget)).where("distance >= 0")
+
+
+def exact_lookup(rows: DataFrame, entries: DataFrame, key: str, entry: str) -> DataFrame:
+    """Rows with the columns of the entry that their key equals; those without one are left out. Spark broadcasts entries that are small."""
+    return rows.join(entries, F.col(key) == F.col(entry))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 
-from strandloom.plans.chemistry import Chemistry, Component
+from strandloom.plans.chemistry import Chemistry, Component, Kind
 
 EXACT, KMER, ALIGN = "EXACTMATCH", "KMERMATCH", "ALIGNMATCH"
 K = 4
@@ -100,11 +101,44 @@ class Place:
         return before, down.name if down and read[end : end + len(down.sequence)] == down.sequence else None
 
 
-class Exact:
+#: Matchers by name, which a cascade tries in an order of its own.
+MATCHERS: dict[str, type[Matcher]] = {}
+
+
+class Matcher:
+    """One way to find a component's barcode in a read. A subclass says how by ``tried`` and is registered under ``method``.
+
+    kinds: the kinds of components that it can handle; others raise when it's made.
+    """
+
+    method: ClassVar[str] = ""
+    kinds: ClassVar[frozenset[Kind]] = frozenset({Kind.BARCODE, Kind.TARGET})
+
+    def __init__(self, chemistry: Chemistry, component: Component, budget: int):
+        if component.kind not in self.kinds:
+            raise ValueError(f"{type(self).__name__} can't handle {component.name}, a {component.kind.value}; it takes {', '.join(sorted(k.value for k in self.kinds))}")
+        self.component, self.budget = component, budget
+
+    def tried(self, read: str, floor: int = 0) -> list[Attempt]:
+        """One attempt, with a match or without, or several that tie. floor: where the read's component before ends, as a hint."""
+        raise TypeError(f"{type(self).__name__} doesn't say how it matches")
+
+
+def register_matcher(kind: type[Matcher]) -> type[Matcher]:
+    """Makes a matcher known by its ``method``; a name that is taken raises."""
+    if not kind.method or kind.method in MATCHERS:
+        raise ValueError(f"a matcher's name is missing or taken: {kind.method}")
+    MATCHERS[kind.method] = kind
+    return kind
+
+
+@register_matcher
+class Exact(Matcher):
     method = EXACT
 
     def __init__(self, chemistry: Chemistry, component: Component, budget: int):
-        self.component, self.entries = component, frozenset(chemistry.whitelist(component.name))
+        super().__init__(chemistry, component, budget)
+        self.entries = frozenset(chemistry.whitelist(component.name))
 
     def tried(self, read: str, floor: int = 0) -> list[Attempt]:
         c = self.component
@@ -116,11 +150,13 @@ class Exact:
         return [Attempt(c.name, EXACT, piece, piece, c.start, c.start + c.size)]
 
 
-class Kmer:
+@register_matcher
+class Kmer(Matcher):
     method = KMER
 
     def __init__(self, chemistry: Chemistry, component: Component, budget: int):
-        self.component, self.budget, self.place = component, budget, Place(chemistry, component, budget)
+        super().__init__(chemistry, component, budget)
+        self.place = Place(chemistry, component, budget)
         self.seeds: dict[str, list] = {}  # of each k-mer, the (entry, place)s that have it
         for entry in chemistry.whitelist(component.name):
             for j in range(len(entry) - K + 1):
@@ -194,11 +230,13 @@ def local_starts(window: str, entries: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, start
 
 
-class Align:
+@register_matcher
+class Align(Matcher):
     method = ALIGN
 
     def __init__(self, chemistry: Chemistry, component: Component, budget: int):
-        self.component, self.budget, self.place = component, budget, Place(chemistry, component, budget)
+        super().__init__(chemistry, component, budget)
+        self.place = Place(chemistry, component, budget)
         by_length: dict[int, list[str]] = {}
         for e in chemistry.whitelist(component.name):
             by_length.setdefault(len(e), []).append(e)
@@ -232,12 +270,16 @@ class Align:
 
 
 class Cascade:
-    """All components by the exact matcher, then the open ones by k-mers, then by alignment."""
+    """All components by the exact matcher, then the open ones by k-mers, then by alignment, or by other registered matchers."""
 
-    def __init__(self, chemistry: Chemistry, fast: bool = False):
+    def __init__(self, chemistry: Chemistry, fast: bool = False, tiers: tuple[str, ...] | None = None):
+        """tiers: names of the matchers after the exact one."""
         self.components = chemistry.barcodes
         budget = chemistry.errors.barcode
-        self.tiers = [{c.name: kind(chemistry, c, budget) for c in self.components} for kind in ((Exact, Kmer) if fast else (Exact, Kmer, Align))]
+        names = (EXACT, *(tiers if tiers is not None else (KMER,) if fast else (KMER, ALIGN)))
+        if unknown := [n for n in names if n not in MATCHERS]:
+            raise ValueError(f"no such matcher: {', '.join(unknown)}")
+        self.tiers = [{c.name: MATCHERS[n](chemistry, c, budget) for c in self.components} for n in names]
 
     def run(self, read: str) -> list[Attempt]:
         """Every attempt at every component, in order; a component has its match, or is ambiguous, or stays open."""

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.functions import ArrowUDFType
 
 from strandloom.functions import headers
 from strandloom.functions import sequences as S
-from strandloom.operators.lookup import ATTEMPT, EXACT, K, KMER, Cascade, Kmer, attempts_of
+from strandloom.operators.lookup import ATTEMPT, EXACT, K, Cascade, Kmer, attempts_of
 from strandloom.plans.chemistry import Chemistry, Kind
 
 NO_TARGET = "NONE"
@@ -27,14 +27,20 @@ def attempt_column(bc: str, value: Column, start: int, end: int) -> Column:
     return F.struct(*(v.alias(k) for k, v in parts.items()))
 
 
-def extracted(reads: DataFrame, chemistry: Chemistry, fast: bool = False) -> DataFrame:
+def full_barcode(calls: Column) -> Column:
+    """The barcodes of all components, in their order, as one."""
+    return F.array_join(F.transform(calls, lambda c: c["value"]), "")
+
+
+def extracted(reads: DataFrame, chemistry: Chemistry, fast: bool = False, tiers: tuple | None = None) -> DataFrame:
     """Reads with attempts, calls (an array of bc, value, start, end), success, perfect and full_barcode.
 
     Reads whose barcodes all stand where the layout says are settled by set membership in the JVM; only the others reach
     the matchers, as the one column of their sequence. Reads of under four bases raise there.
+    tiers: matchers to try after the exact one, by their names, instead of those by k-mers and alignment.
     """
     chemistry.check()
-    cascade = Cascade(chemistry, fast)
+    cascade = Cascade(chemistry, fast, tiers)
     pieces = {c.name: F.substr("seq", F.lit(c.start + 1), F.lit(c.size)) for c in chemistry.barcodes}
     exact = F.lit(True)
     for c in chemistry.barcodes:
@@ -51,7 +57,7 @@ def extracted(reads: DataFrame, chemistry: Chemistry, fast: bool = False) -> Dat
     out = out.withColumn("attempts", F.when(F.col("_exact"), settled).otherwise(F.col("_searched"))).drop("_searched")
     calls = F.transform(F.filter("attempts", lambda a: a["match"].isNotNull()), lambda a: F.struct(a["bc"].alias("bc"), a["match"].alias("value"), a["start"].alias("start"), a["end"].alias("end")))
     out = out.withColumn("calls", calls).withColumn("success", F.size("calls") == len(chemistry.barcodes))
-    out = out.withColumn("full_barcode", F.when(F.col("success"), F.array_join("calls.value", "")))
+    out = out.withColumn("full_barcode", F.when(F.col("success"), full_barcode(F.col("calls"))))
     return out.withColumnRenamed("_exact", "perfect")
 
 
@@ -190,6 +196,11 @@ def insert_cut(seq: Column, reference: Column, anchor) -> Column:
     return reference + anchor.size
 
 
+def arm_of(cut: Column, seq: Column, matched: Column, target: Column) -> Column:
+    """Where a read goes: to its target or to ``none``; null if no insert was sequenced, as the cut is at its end or after it."""
+    return F.when(cut < F.length(seq), F.when(matched, target).otherwise("none"))
+
+
 def prepared(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
     """Reads with arm (none, a target, or null where no insert was sequenced), cut, read_id, header, insert_seq and insert_qual.
 
@@ -199,15 +210,15 @@ def prepared(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
     umi, target = chemistry.first(Kind.UMI), chemistry.first(Kind.TARGET)
     if umi is None:
         raise ValueError(f"{chemistry.name} has no UMI to cut unmatched reads at")
-    full = F.array_join("calls.value", "")
+    full = full_barcode(F.col("calls"))
     matched = F.col("target") != NO_TARGET if target is not None else F.lit(False)
     low = insert_cut(F.col("seq"), F.col("umi.end"), chemistry.layout.beside(umi.name, 1))
     high = insert_cut(F.col("seq"), F.col("target_end"), chemistry.layout.beside(target.name, 1)) if target is not None else low
     corrupt = F.col("umi").isNull() | (matched & F.col("target_end").isNull()) if target is not None else F.col("umi").isNull()
     stop = F.raise_error(F.concat(F.lit("a read has no span to cut at: "), F.col("read_id"))).cast("int")
     cut = F.when(corrupt, stop).otherwise(F.when(matched, high).otherwise(low))
-    out = reads if "read_id" in reads.columns else reads.withColumn("read_id", F.substring_index(F.trim("name"), " ", 1))
-    out = out.withColumn("cut", cut).withColumn("arm", F.when(F.col("cut") < F.length("seq"), F.when(matched, F.col("target") if target is not None else F.lit(None)).otherwise("none")))
+    out = reads if "read_id" in reads.columns else reads.withColumn("read_id", headers.parse(F.col("name"))["read_id"])
+    out = out.withColumn("cut", cut).withColumn("arm", arm_of(F.col("cut"), F.col("seq"), matched, F.col("target") if target is not None else F.lit(None)))
     header = F.when(F.col("arm") == "none", F.col("read_id")).otherwise(F.concat(F.col("read_id"), F.lit("|CB="), full, F.lit("|UR="), F.col("umi.value")))
     return out.withColumns({"header": header, "insert_seq": S.tail(F.col("seq"), F.col("cut")), "insert_qual": S.tail(F.col("qual"), F.col("cut"))})
 
@@ -217,7 +228,7 @@ def barcode_records(prepared_reads: DataFrame, chemistry: Chemistry) -> DataFram
     umi = chemistry.first(Kind.UMI)
     spans = [(call(c.name, "start"), c.size) for c in chemistry.barcodes] + [(F.col("umi.start"), umi.size)]
     qual = F.concat(*(F.substr("qual", s + 1, F.lit(n)) for s, n in spans))
-    return prepared_reads.where("arm = 'none'").select("ord", "read_id", F.concat(F.array_join("calls.value", ""), "umi.value").alias("seq"), qual.alias("qual"))
+    return prepared_reads.where("arm = 'none'").select("ord", "read_id", F.concat(full_barcode(F.col("calls")), "umi.value").alias("seq"), qual.alias("qual"))
 
 
 def paired(r1: DataFrame, r2: DataFrame) -> DataFrame:
@@ -225,7 +236,7 @@ def paired(r1: DataFrame, r2: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     nth = lambda d: d.withColumn("_nth", F.row_number().over(Window.partitionBy("read_id").orderBy("ord")))
-    mates = r2.select(F.substring_index(F.trim("name"), " ", 1).alias("read_id"), "ord", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    mates = r2.select(headers.parse(F.col("name"))["read_id"].alias("read_id"), "ord", F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
     both = nth(r1).join(nth(mates).drop("ord").withColumn("_mate", F.lit(True)), ["read_id", "_nth"], "left")
     found = F.when(F.col("_mate"), F.col("seq2")).otherwise(F.raise_error(F.concat(F.lit("no second read of "), F.col("read_id"))).cast("string"))
     return both.withColumn("seq2", found).drop("_nth", "_mate")
@@ -244,5 +255,3 @@ def bucket_counts(rows: DataFrame, bucket: str, buckets: list[str]) -> DataFrame
     n = rows.groupBy(F.col(bucket).cast("string").alias("bucket")).agg(F.count("*").alias("n"))
     return listed.join(n, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
-
-METHODS = (EXACT, KMER, "ALIGNMATCH")

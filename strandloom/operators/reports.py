@@ -10,17 +10,27 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.numbers import percent
-from strandloom.operators.reads import METHODS
+from strandloom.functions.numbers import fraction, percent
+from strandloom.operators.lookup import MATCHERS
 from strandloom.plans.chemistry import Chemistry
 
 NAMESPACE = "strandloom"
 
 
+def frequencies(rows: DataFrame, column: str) -> DataFrame:
+    """(column, n): rows of each value; nulls are left out."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
 def histogram(rows: DataFrame, column: str) -> dict:
     """Value to number of rows, in order; nulls are left out."""
-    found = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).collect()
-    return dict(sorted((r[0], r.n) for r in found))
+    return dict(sorted((r[0], r.n) for r in frequencies(rows, column).collect()))
+
+
+def breakdown(rows: DataFrame, by: str, column: str, outcomes: dict[str, str]) -> DataFrame:
+    """(by, total, a column for each outcome, its fraction): how many rows of each group have each value, named by ``outcomes``."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("total"), *(F.count_if(F.col(column) == v).alias(k) for k, v in outcomes.items()))
+    return counts.withColumns({f"{k}_fraction": F.round(fraction(F.col(k), F.col("total")), 6) for k in outcomes})
 
 
 def histogram_lines(counts: dict, whole: int | None = None) -> list[str]:
@@ -43,7 +53,7 @@ def extraction_stats(extracted: DataFrame, chemistry: Chemistry) -> dict[str, An
     top = extracted.where("success").groupBy("full_barcode").agg(F.count("*").alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(10).collect()
     parts = {}
     for c in chemistry.barcodes:
-        for m in METHODS:
+        for m in MATCHERS:
             if (r := methods.get((c.name, m))) is not None:
                 parts[c.name, m] = {"checked": r.checked, "matched": r.matched, "failed": r.checked - r.matched, "ambiguous": r.ambiguous, "distances": distances.get((c.name, m), {}), "spacers": spacers.get((c.name, m), 0)}
     return one.asDict() | {"top": [(r.full_barcode, r.n) for r in top], "parts": parts}

@@ -146,8 +146,8 @@ def call_cells(spark: SparkSession, peaks_path: str, path: str, out: str, prefix
     curve = cells.rank_curve(totals, "n", "barcode")
     sampled = [(r["rank"], r.n) for r in sampled_ranks(curve, curve.count(), KNEE_POINTS).orderBy("rank").collect()]
     if n is None:
-        at = cells.knee([v for _, v in sampled])
-        n = sampled[at[0] - 1][0] if at else most
+        at = cells.knee([v for _, v in sampled], [k for k, _ in sampled])
+        n = at[0] if at else most
     put(out, f"{prefix}_cells.svg", reports.rank_svg(sampled, n or None))
     top = cells.top_cells(totals, n).persist()
     features = cells.selected_features(grid, top)

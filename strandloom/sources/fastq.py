@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
 
@@ -64,20 +65,19 @@ def opened(path: str):
 
         return gzip.open(path, "rb")
     if path.endswith(".lz4"):
-        return pa.CompressedInputStream(pa.OSFile(path), "lz4")
+        return io.BufferedReader(pa.CompressedInputStream(pa.OSFile(path), "lz4"), 1 << 20)
     return open(path, "rb")
 
 
 def records(piece: Piece, lines: int = 4) -> Iterator[tuple]:
     """Names, sequences and qualities of a piece, without @ and separators; an incomplete last one is left out, a corrupt stream raises."""
     with opened(piece.path) as f:
-        stream = f if hasattr(f, "readline") and not isinstance(f, pa.NativeFile) else iter_lines(f)
         at = 0
         if piece.end is not None:
             at = align(f, piece.start)
             f.seek(at)
         while piece.end is None or at < piece.end:
-            block = [stream.readline() for _ in range(lines)]
+            block = [f.readline() for _ in range(lines)]
             if not block[-1]:
                 return
             at += sum(map(len, block))
@@ -88,23 +88,6 @@ def records(piece: Piece, lines: int = 4) -> Iterator[tuple]:
             yield tuple(out)
 
 
-class iter_lines:  # noqa: N801
-    """readline() over a stream that only has read()."""
-
-    def __init__(self, stream):
-        self.stream, self.held = stream, b""
-
-    def readline(self) -> bytes:
-        while b"\n" not in self.held:
-            more = self.stream.read(1 << 20)
-            if not more:
-                line, self.held = self.held, b""
-                return bytes(line)
-            self.held = bytes(self.held) + bytes(more)
-        line, _, self.held = self.held.partition(b"\n")
-        return line + b"\n"
-
-
 def align(f, start: int) -> int:
     """The first record that begins at a byte or after it."""
     if start == 0:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from strandloom.operators import lookup as L
+from strandloom.operators import reads
 from strandloom.plans import chemistry as C
 
 ENTRIES = ("ACGTTGCAAC", "TTGACCGATA", "GGCATTACGA", "CATGGTCTAC")
@@ -142,3 +143,36 @@ def test_targets_that_cannot_be_told():
     with pytest.raises(ValueError, match="bases of its anchor"):
         replace(kit(), whitelists={**lists, "TGIDX": ("GGGTACCA",)}).check()
     assert "5 targets" in replace(kit(), whitelists={**lists, "TGIDX": ("AACCAACC", "TTGGTTAA", "CATCATCA", "ACACGTGT", "TCTCAGAG")}).check()[0]
+
+
+def test_matchers_plug_in(spark):
+    class Anywhere(L.Matcher):
+        method = "ANYWHERE"
+        kinds = frozenset({C.Kind.BARCODE})
+
+        def __init__(self, chemistry, component, budget):
+            super().__init__(chemistry, component, budget)
+            self.entries = chemistry.whitelist(component.name)
+
+        def tried(self, read, floor=0):
+            at = next(((e, read.find(e, floor)) for e in self.entries if e in read[floor:]), None)
+            return [L.Attempt(self.component.name, self.method, at[0], at[0], at[1], at[1] + len(at[0]))] if at else [L.Attempt(self.component.name, self.method)]
+
+    with pytest.raises(ValueError, match="taken"):
+        L.register_matcher(type("Again", (L.Matcher,), {"method": L.EXACT}))
+    with pytest.raises(ValueError, match="no such matcher"):
+        L.Cascade(kit(), tiers=("NOWHERE",))
+    with pytest.raises(ValueError, match="can't handle UMI"):
+        Anywhere(kit(), kit().first(C.Kind.UMI), 1)
+    with pytest.raises(TypeError):
+        L.Matcher(kit(), kit().barcodes[0], 1).tried("ACGT")
+    L.register_matcher(Anywhere)
+    try:
+        shifted = "TTTTTTTTTTTT" + read()
+        found = [a for a in L.Cascade(kit(), tiers=("ANYWHERE",)).run(shifted) if a.match]
+        assert {a.method for a in found} == {"ANYWHERE"} and found[0].start == 12
+        rows = spark.createDataFrame([(0, "r", shifted, "I" * len(shifted)), (1, "s", read(), "I" * len(read()))], "ord long, name string, seq string, qual string")
+        got = {r.ord: r.success for r in reads.extracted(rows, kit(), tiers=("ANYWHERE",)).collect()}
+        assert got == {0: True, 1: True}
+    finally:
+        del L.MATCHERS["ANYWHERE"]

@@ -172,3 +172,13 @@ def test_fastq_splits(tmp_path, spark):
         read_fastq(spark, str(broken)).count()
     with pytest.raises(Exception, match="(?i)not.*found|missing.fastq"):
         read_fastq(spark, str(tmp_path / "missing.fastq")).count()
+
+
+def test_lz4_lines(spark, tmp_path):
+    import pyarrow as pa
+
+    text = "".join(f"@r{i}\nACGT{'ACGT' * (i % 40)}\n+\nIIII{'IIII' * (i % 40)}\n" for i in range(30_000))
+    with pa.CompressedOutputStream(pa.OSFile(f"{tmp_path}/a.fastq.lz4", "wb"), "lz4") as f:
+        f.write(text.encode())
+    rows = read_fastq(spark, f"{tmp_path}/a.fastq.lz4")
+    assert rows.count() == 30_000 and rows.where("length(seq) <> length(qual)").count() == 0

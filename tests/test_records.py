@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import numbers
 from strandloom.operators import cells, dedup, fuzzy
 from strandloom.plans import commands
 from strandloom.sources import bam, tables
@@ -211,3 +212,21 @@ def test_single_cells_and_flags(spark, tmp_path):
         spark.createDataFrame([("2",)], "x string").select(dedup.checked_flag(F.col("x"))).collect()
     with pytest.raises(FileNotFoundError):
         bam.index_of(str(tmp_path / "x.bam"))
+
+
+def test_knee_is_the_last_found_from_the_far_end():
+    """Of two bends, online keeps the one of the lower rank; a sample with its ranks has the curve's own axis."""
+    values = [1000] * 30 + [400] * 60 + [5] * 400
+    rank, value = cells.knee(values)
+    assert (rank, value) == (30, 1000)
+    places = sorted({*range(1, 491, 7), 30, 31, 90, 91, 490})
+    assert cells.knee([values[i - 1] for i in places], places) == (30, 1000)
+    smooth = sorted((int(5000 / (1 + 2.718 ** ((i - 400) / 20))) + 1 for i in range(4000)), reverse=True)
+    near = sorted({*numbers.log_spaced_ranks(4000, 300), *range(300, 500, 2)})
+    assert abs(cells.knee(smooth)[0] - cells.knee([smooth[i - 1] for i in near], near)[0]) <= 4
+
+
+def test_ranks_hold_no_cache(spark):
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert cells.ranked(spark.range(50).toDF("k"), [F.asc("k")]).count() == 50
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
