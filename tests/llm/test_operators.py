@@ -558,6 +558,67 @@ def test_language_entropies_against_plain_kneser_ney(spark):
         assert got.lang_pred == best and abs(got.cross_entropy - want[best, text]) < 1e-5
 
 
+@pytest.mark.parametrize("limits", [{"MAX_GRAMS": 12, "ROUND_GRAMS": 12}, {"MAX_GRAMS": 1, "ROUND_GRAMS": 40, "CELLS": 0}, {"MAX_GRAMS": 30, "ROUND_GRAMS": 150}])
+def test_language_rounds_keep_all_ngrams(spark, monkeypatch, limits):
+    docs = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string").repartition(3)
+    texts = frame(spark, ["karimo stove", "щужа", "x y z", "Ka, ri! linve" * 30, *(x for _, x, _ in language_rows()[::7])])
+    answers = lambda models: {r.doc_id: r for r in langid.identified(texts, models).collect()}
+    whole = langid.train(docs)
+    want = answers(whole)
+    for k, v in limits.items():
+        monkeypatch.setattr(langid, k, v)
+    parted = langid.train(docs)
+    assert parted.names == whole.names and len(parted.rounds) > 1 and np.allclose(parted.limits, whole.limits, atol=1e-5)
+    grams = lambda models: {x: np.unique(np.concatenate([m.languages[m.names.index(x)].keys[4] for m in (r() for r in models.rounds) if x in m.names])).tolist() for x in models.names}
+    assert grams(parted) == grams(whole)
+    got = answers(parted)
+    assert all(got[i].lang_pred == r.lang_pred and got[i].rejected == r.rejected and np.allclose([got[i].score, got[i].cross_entropy], [r.score, r.cross_entropy], atol=1e-5) for i, r in want.items())
+
+
+def test_language_of_batches_that_end_in_empty_texts(spark):
+    rows = [(i, x, "aa") for i, x in enumerate(["karimo"] * 20 + ["", "ka", "", ""])]
+    docs = spark.createDataFrame([*rows, (30, None, "aa")], "doc_id long, text string, lang string").coalesce(1)
+    got = langid.identified(docs, langid.train(docs)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["aa"] * 20 + ["und", "aa", "und", "und", "und"]
+
+
+def test_language_thresholds_are_of_all_labelled_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 30))), "pq"[i % 3 == 0]) for i in range(4000)]
+    docs = spark.createDataFrame([*rows, *rows[:500], (None, "zzz", "p"), (9001, "12 3", "p"), (9002, None, "q")], "doc_id long, text string, lang string")
+    models = langid.train(docs)
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    own = {x: [] for x in models.names}
+    for k in (0, 1):
+        other = langid.train(docs.where(half != k))
+        used = docs.where(~langid.held_out()).where("text rlike '[a-h]'").where(half == k).collect()
+        for r, e in zip(used, other.rounds[0]().entropies([r.text for r in used])[0], strict=True):
+            own[r.lang].append(e[other.names.index(r.lang)])
+    for i, x in enumerate(models.names):
+        assert len(own[x]) > 1000 and abs(models.limits[i] - np.quantile(own[x], langid.PASSES) - 1) < 1e-9
+
+
+def test_language_of_many_letters_knows_new_texts(spark):
+    rng = random.Random(9)
+    rows = []
+    for x, first in (("p", 0x4E00), ("q", 0x6E00)):
+        words = ["".join(chr(first + rng.randrange(3000)) for _ in range(3)) for _ in range(3000)]
+        rows += [(len(rows) + i, "".join(words[int(3000 ** rng.random())] for _ in range(40)), x) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identified(docs, langid.train(docs)).where(langid.held_out()).collect()
+    assert len(got) > 150 and all(r.lang_pred == ("p" if r.doc_id < 500 else "q") for r in got) and sum(r.rejected for r in got) < 0.03 * len(got)
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.random(1000) * 10, "b": np.array([0.0, 0.0, 5e-324, 1e300]), "c": np.array([2.5]), "d": np.repeat([1.0, 1.0 + 2**-52, 3.0], [7, 300, 2])}
+    rows = spark.createDataFrame([(k, int(x)) for k, v in values.items() for x in v.view(np.int64)], "lang string, bits long")
+    for share in (0.0, 0.5, 0.995, 1.0):
+        got = langid.quantiles(rows, share)
+        assert set(got) == set(values) and all(np.isclose(got[k], np.quantile(v, share), rtol=1e-12) for k, v in values.items())
+    assert langid.quantiles(rows.limit(0), 0.5) == {}
+
+
 def test_language_grams():
     keys, text = langid.grams(["Ab, c", "", "é"], langid.folds())
     unpacked = ["".join(chr(int(k) >> s & 0xFFFF) for s in (48, 32, 16, 0)) for k in keys]
