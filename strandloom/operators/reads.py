@@ -6,7 +6,7 @@ Reads are (ord, name, seq, qual). Each stage adds typed columns; ``annotated`` r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,12 @@ from strandloom.plans.chemistry import Chemistry, Kind
 NO_TARGET = "NONE"
 
 
+def once(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """A function that's called once a row. Spark pushes filters on a stage's columns through the stage, with the function and
+    all it's called with in them again, unless it's told that another call may say something else."""
+    return udf.asNondeterministic()
+
+
 def attempt_column(bc: str, value: Column, start: int, end: int) -> Column:
     none = F.lit(None).cast("string")
     parts = {"bc": F.lit(bc), "method": F.lit(EXACT), "candidate": value, "match": value, "start": F.lit(start), "end": F.lit(end), "distance": F.lit(None).cast("int"), "upstream": none, "downstream": none}
@@ -51,7 +57,7 @@ def extracted(reads: DataFrame, chemistry: Chemistry, fast: bool = False, tiers:
         for column in batches:
             yield pa.array(list(attempts_of(column.to_pylist(), cascade)), kind)
 
-    search = F.arrow_udf(run, f"array<{ATTEMPT}>", ArrowUDFType.SCALAR_ITER)
+    search = once(F.arrow_udf(run, f"array<{ATTEMPT}>", ArrowUDFType.SCALAR_ITER))
     out = reads.withColumn("_exact", exact).withColumn("_searched", search(F.when(~F.col("_exact"), F.col("seq"))))
     settled = F.array(*(attempt_column(c.name, pieces[c.name], c.start, c.start + c.size) for c in chemistry.barcodes))
     out = out.withColumn("attempts", F.when(F.col("_exact"), settled).otherwise(F.col("_searched"))).drop("_searched")
@@ -123,7 +129,7 @@ def with_targets(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
                 known[w] = {k: getattr(tried[0], k) for k in ("match", "start", "end", "distance")} if len(tried) == 1 and tried[0].match else None
             yield pa.array([known[w] for w in values], kind)
 
-    find = F.arrow_udf(run, "struct<match:string,start:int,end:int,distance:int>", ArrowUDFType.SCALAR_ITER)
+    find = once(F.arrow_udf(run, "struct<match:string,start:int,end:int,distance:int>", ArrowUDFType.SCALAR_ITER))
     run_pattern = S.anchor_pattern(anchor.base, anchor.min_run)
     out = reads.withColumn("_at", call(left.name, "end") + gap).withColumn("_rest", S.tail(F.col("seq"), F.col("_at")))
     out = out.withColumns({"_whole": F.length(F.regexp_extract("_rest", run_pattern, 0)), "_run": F.length(F.regexp_extract("_rest", run_pattern, 1))})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+from collections import Counter
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,20 @@ def histogram(rows: DataFrame, column: str) -> dict:
     return dict(sorted((r[0], r.n) for r in frequencies(rows, column).collect()))
 
 
+def tally(rows: DataFrame, *columns: str) -> Counter:
+    """Rows of each combination of values, in one pass and without a filter, which Spark would push into what the rows are made of."""
+    return Counter({tuple(r)[:-1]: r[-1] for r in rows.groupBy(*columns).agg(F.count("*")).collect()})
+
+
+def marginal(counts: Counter, at: int, outcome: str | None = None) -> dict:
+    """Value to number of rows at one place of a tally, in order; nulls are left out. outcome: those whose first value it is alone."""
+    out: Counter = Counter()
+    for k, n in counts.items():
+        if k[at] is not None and outcome in (None, k[0]):
+            out[k[at]] += n
+    return dict(sorted(out.items()))
+
+
 def breakdown(rows: DataFrame, by: str, column: str, outcomes: dict[str, str]) -> DataFrame:
     """(by, total, a column for each outcome, its fraction): how many rows of each group have each value, named by ``outcomes``."""
     counts = rows.groupBy(by).agg(F.count("*").alias("total"), *(F.count_if(F.col(column) == v).alias(k) for k, v in outcomes.items()))
@@ -81,17 +96,18 @@ def combined_distances(stats: dict[str, Any]) -> dict[int, int] | None:
 
 def umi_stats(rows: DataFrame) -> dict[str, Any]:
     """Outcomes and the run lengths of the anchor after accepted UMIs; the outcomes add up to the total."""
-    n = histogram(rows, "umi_outcome")
+    counts = tally(rows, "umi_outcome", "umi_run")
+    n = marginal(counts, 0)
     out = {"total": sum(n.values())} | {k: n.get(k, 0) for k in ("accepted", "missing_left_anchor", "truncated")}
-    return out | {"runs": histogram(rows.where("umi_outcome = 'accepted'"), "umi_run")}
+    return out | {"runs": marginal(counts, 1, "accepted")}
 
 
 def target_stats(rows: DataFrame) -> dict[str, Any]:
     """Outcomes, targets, edit distances and measured run lengths."""
-    n = histogram(rows, "target_outcome")
+    counts = tally(rows, "target_outcome", "target", "target_distance", "target_run")
+    n = marginal(counts, 0)
     out = {"total": sum(n.values())} | {k: n.get(k, 0) for k in ("matched", "no_match", "no_left_anchor_pos", "short_window")}
-    hit = rows.where("target_outcome = 'matched'")
-    return out | {"targets": histogram(hit, "target"), "distances": histogram(hit, "target_distance"), "runs": histogram(rows, "target_run")}
+    return out | {"targets": marginal(counts, 1, "matched"), "distances": marginal(counts, 2, "matched"), "runs": marginal(counts, 3)}
 
 
 def prepare_stats(rows: DataFrame) -> dict[str, Any]:

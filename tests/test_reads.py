@@ -69,6 +69,39 @@ def test_umis_targets_and_arms(rows, kit):
     assert arms["noinsert"].arm is None and arms["short"].arm is None
 
 
+def jobs_of(spark, f):
+    """What a function returns, and how many jobs it ran."""
+    spark.sparkContext.setJobGroup("jobs_of", "")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("jobs_of"))
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup("jobs_of")) - before
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_filters_stay_out_of_the_stages(rows, kit):
+    found = reads.with_targets(reads.with_umis(reads.extracted(rows, kit), kit), kit)
+    for kept in (found.where("target_outcome = 'matched'"), found.where("umi_outcome = 'accepted'"), reads.prepared(found.where("umi is not null"), kit).where("arm = 'none'")):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= plan.count("ArrowEvalPython") <= 2
+    assert [r.ord for r in found.where("target_outcome = 'no_match'").collect()] == [3]
+
+
+def test_stage_stats_are_one_pass(spark, rows, kit):
+    found = reads.with_targets(reads.with_umis(reads.extracted(rows, kit), kit), kit)
+    hold = lambda: [r.asDict() for r in found.collect()]
+    once, passes = jobs_of(spark, lambda: reports.tally(found, "target_outcome"))
+    n = lambda rs, k: {v: sum(r[k] == v for r in rs) for v in sorted({r[k] for r in rs} - {None})}
+    all_reads = hold()
+    hit, kept = [r for r in all_reads if r["target_outcome"] == "matched"], [r for r in all_reads if r["umi_outcome"] == "accepted"]
+    target, jobs = jobs_of(spark, lambda: reports.target_stats(found))
+    assert jobs == passes and {k[0]: v for k, v in once.items()} == n(all_reads, "target_outcome")
+    assert target == {"total": 8, "matched": 4, "no_match": 1, "no_left_anchor_pos": 1, "short_window": 2, "targets": n(hit, "target"), "distances": n(hit, "target_distance"), "runs": n(all_reads, "target_run")}
+    assert list(target["distances"].items()) == [(0, 3), (1, 1)]
+    umi, jobs = jobs_of(spark, lambda: reports.umi_stats(found))
+    assert jobs == passes and umi == {"total": 8, "accepted": 6, "missing_left_anchor": 1, "truncated": 1, "runs": n(kept, "umi_run")}
+
+
 def test_headers_carry_the_stages(rows, kit):
     found = reads.with_targets(reads.with_umis(reads.extracted(rows.where("ord = 0"), kit), kit), kit)
     text = reads.annotated(found, kit).first().name
