@@ -55,23 +55,35 @@ def histogram_lines(counts: dict, whole: int | None = None) -> list[str]:
 
 def extraction_stats(extracted: DataFrame, chemistry: Chemistry) -> dict[str, Any]:
     """Totals, and by component and method reads checked, matched, ambiguous, and edit distances of the attempts. No reads raise."""
-    one = extracted.agg(F.count("*").alias("total"), F.count_if("perfect").alias("perfect"), F.count_if(F.col("success") & ~F.col("perfect")).alias("corrected"), F.count_if(~F.col("success")).alias("failed")).first()
-    if not one.total:
+    seen = F.transform("attempts", lambda a: F.struct(a["bc"].alias("bc"), a["method"].alias("method"), a["match"].isNotNull().alias("hit"), a["distance"].alias("distance"), (a["upstream"].isNotNull() | a["downstream"].isNotNull()).alias("beside")))
+    # Reads that went alike are one row, so that reads are made and matched once whatever is counted of them.
+    alike = extracted.groupBy("perfect", "success", "full_barcode", seen.alias("seen")).agg(F.count("*").alias("n"), F.min("ord").alias("first")).persist()
+    try:
+        outcomes = {(r.perfect, r.success): r.n for r in alike.groupBy("perfect", "success").agg(F.sum("n").alias("n")).collect()}
+        tries = alike.select("n", "seen", F.explode(F.array_distinct(F.transform("seen", lambda a: F.struct(a["bc"], a["method"])))).alias("of"))
+        own = F.filter("seen", lambda a: (a["bc"] == F.col("of.bc")) & (a["method"] == F.col("of.method")))
+        found = tries.groupBy(own.alias("own")).agg(F.sum("n").alias("n")).collect()
+        top = alike.where("success").groupBy("full_barcode").agg(F.sum("n").alias("n"), F.min("first").alias("first")).orderBy(F.desc("n"), "first").limit(10).collect()
+    finally:
+        alike.unpersist()
+    total = sum(outcomes.values())
+    if not total:
         raise ValueError("there are no reads")
-    tries = extracted.select(F.posexplode("attempts").alias("_", "a"), F.col("ord").alias("_ord")).select("_ord", "a.*")
-    per_read = tries.groupBy("_ord", "bc", "method").agg(F.count("*").alias("k"), F.count_if(F.col("match").isNotNull()).alias("hits"))
-    methods = {(r.bc, r.method): r for r in per_read.groupBy("bc", "method").agg(F.count("*").alias("checked"), F.count_if(F.col("hits") > 0).alias("matched"), F.count_if(F.col("k") > 1).alias("ambiguous")).collect()}
-    distances: dict[tuple[str, str], dict[int, int]] = {}
-    for r in tries.where("distance is not null").groupBy("bc", "method", "distance").agg(F.count("*").alias("n")).orderBy("distance").collect():
-        distances.setdefault((r.bc, r.method), {})[r.distance] = r.n
-    spacers = {(r.bc, r.method): r.n for r in tries.where("upstream is not null or downstream is not null").groupBy("bc", "method").agg(F.count("*").alias("n")).collect()}
-    top = extracted.where("success").groupBy("full_barcode").agg(F.count("*").alias("n"), F.min("ord").alias("first")).orderBy(F.desc("n"), "first").limit(10).collect()
+    one = {"total": total, "perfect": sum(n for k, n in outcomes.items() if k[0]), "corrected": outcomes.get((False, True), 0), "failed": sum(n for k, n in outcomes.items() if k[1] is False)}
+    counts: dict[tuple[str, str], Counter] = {}
+    distances: dict[tuple[str, str], Counter] = {}
+    for r in found:
+        key, hit = (r.own[0].bc, r.own[0].method), any(a.hit for a in r.own)
+        counts.setdefault(key, Counter()).update(checked=r.n, matched=r.n * hit, failed=r.n * (not hit), ambiguous=r.n * (len(r.own) > 1), spacers=r.n * sum(a.beside for a in r.own))
+        for a in r.own:
+            if a.distance is not None:
+                distances.setdefault(key, Counter())[a.distance] += r.n
     parts = {}
     for c in chemistry.barcodes:
         for m in MATCHERS:
-            if (r := methods.get((c.name, m))) is not None:
-                parts[c.name, m] = {"checked": r.checked, "matched": r.matched, "failed": r.checked - r.matched, "ambiguous": r.ambiguous, "distances": distances.get((c.name, m), {}), "spacers": spacers.get((c.name, m), 0)}
-    return one.asDict() | {"top": [(r.full_barcode, r.n) for r in top], "parts": parts}
+            if (k := (c.name, m)) in counts:
+                parts[k] = {x: counts[k][x] for x in ("checked", "matched", "failed", "ambiguous")} | {"distances": dict(sorted(distances.get(k, {}).items())), "spacers": counts[k]["spacers"]}
+    return one | {"top": [(r.full_barcode, r.n) for r in top], "parts": parts}
 
 
 def extraction_report(stats: dict[str, Any]) -> str:

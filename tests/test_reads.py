@@ -102,6 +102,34 @@ def test_stage_stats_are_one_pass(spark, rows, kit):
     assert jobs == passes and umi == {"total": 8, "accepted": 6, "missing_left_anchor": 1, "truncated": 1, "runs": n(kept, "umi_run")}
 
 
+def test_extraction_stats_match_reads_once(spark, kit):
+    close = replace(kit, enforce=False, whitelists={**kit.whitelists, "BC3": (*ENTRIES, "ACGTTGCAAG")})
+    seqs = [s for _, s in CASES] + [seq(bc=("ACGTTGCAAT", *ENTRIES[1:3])), seq(bc=("ACGTTGCAAT", *ENTRIES[1:3])).replace("TGTGTATAAGGACCTCGTTGCC", "TGTGTATAAGGACCTCGTTGCA"), seq(bc=ENTRIES[1:4]), "T" + seq()]
+    # the accumulator counts the reads that reach the stage, in all jobs
+    made = spark.sparkContext.accumulator(0)
+    listed = [(i, "r", s, "I" * len(s)) for i, s in enumerate(seqs)]
+    counted = spark.sparkContext.parallelize(listed, 2).map(lambda r: (made.add(1), r)[1])
+    found = reads.extracted(spark.createDataFrame(counted, "ord long, name string, seq string, qual string"), close)
+    stats, once = reports.extraction_stats(found, close), made.value
+    assert once == len(seqs)
+    want = found.collect()
+    assert [stats[k] for k in ("total", "perfect", "corrected", "failed")] == [len(want), sum(r.perfect for r in want), sum(r.success and not r.perfect for r in want), sum(not r.success for r in want)]
+    parts = {}
+    for r in want:
+        for k in {(a.bc, a.method) for a in r.attempts}:
+            own = [a for a in r.attempts if (a.bc, a.method) == k]
+            p = parts.setdefault(k, {"checked": 0, "matched": 0, "failed": 0, "ambiguous": 0, "distances": {}, "spacers": 0})
+            hit = any(a.match for a in own)
+            p["checked"], p["matched"], p["failed"], p["ambiguous"] = p["checked"] + 1, p["matched"] + hit, p["failed"] + (not hit), p["ambiguous"] + (len(own) > 1)
+            p["spacers"] += sum(a.upstream is not None or a.downstream is not None for a in own)
+            for a in own:
+                if a.distance is not None:
+                    p["distances"][a.distance] = p["distances"].get(a.distance, 0) + 1
+    assert stats["parts"] == parts and any(p["ambiguous"] for p in parts.values()) and any(p["spacers"] for p in parts.values())
+    n = {b: (sum(r.full_barcode == b for r in want), min(r.ord for r in want if r.full_barcode == b)) for b in {r.full_barcode for r in want} - {None}}
+    assert stats["top"] == [(b, k) for b, (k, _) in sorted(n.items(), key=lambda x: (-x[1][0], x[1][1]))]
+
+
 def test_headers_carry_the_stages(rows, kit):
     found = reads.with_targets(reads.with_umis(reads.extracted(rows.where("ord = 0"), kit), kit), kit)
     text = reads.annotated(found, kit).first().name
