@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN_SUFFIX = "_POS"
@@ -12,15 +14,49 @@ def position_key(name: str) -> str:
     return name + SPAN_SUFFIX
 
 
-def parse(header: Column) -> Column:
-    """struct(read_id, passthrough, tags) of a header; a tag given twice keeps its first place and its last value."""
-    tokens = F.filter(F.split(F.trim(header), r"\s+"), lambda x: x != "")
-    rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, also where ``f`` uses it for every element of an array.
+
+    Spark evaluates an expression wherever it's written; only a function's element is a variable.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def tokens_of(header: Column) -> Column:
+    return F.filter(F.split(F.trim(header), r"\s+"), lambda x: x != "")
+
+
+def rest_of(tokens: Column) -> Column:
+    return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+
+
+def loose_of(rest: Column) -> Column:
+    return F.filter(rest, lambda x: ~x.contains("="))
+
+
+def pairs_of(rest: Column) -> Column:
     key = lambda x: F.substring_index(x, "=", 1)
-    pairs = F.transform(F.filter(rest, lambda x: x.contains("=")), lambda x: F.struct(key(x).alias("k"), F.substr(x, F.length(key(x)) + 2).alias("v")))
+    return F.transform(F.filter(rest, lambda x: x.contains("=")), lambda x: F.struct(key(x).alias("k"), F.substr(x, F.length(key(x)) + 2).alias("v")))
+
+
+def tags_of(pairs: Column) -> Column:
+    """Pairs without repeated keys; those of most headers as they are, since to look for repeats takes the square of their number."""
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    tags = F.transform(names, lambda n: F.struct(n.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"].alias("v")))
-    return F.struct(F.get(tokens, F.lit(0)).alias("read_id"), F.filter(rest, lambda x: ~x.contains("=")).alias("passthrough"), tags.alias("tags"))
+    last = F.transform(names, lambda n: F.struct(n.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"].alias("v")))
+    return F.when(F.size(names) == F.size(pairs), pairs).otherwise(last)
+
+
+def parse(header: Column) -> Column:
+    """struct(read_id, passthrough, tags) of a header; a tag given twice keeps its first place and its last value."""
+    whole = lambda t, r: F.struct(F.get(t, F.lit(0)).alias("read_id"), loose_of(r).alias("passthrough"), held(pairs_of(r), tags_of).alias("tags"))
+    return held(tokens_of(header), lambda t: whole(t, rest_of(t)))
+
+
+def with_parsed(rows: DataFrame, header: str) -> DataFrame:
+    """Rows with _read_id, _passthrough and _tags as ``parse`` has them. Each step is a column of its own, which is evaluated once."""
+    out = rows.withColumn("_tokens", tokens_of(F.col(header))).withColumn("_rest", rest_of(F.col("_tokens")))
+    out = out.withColumns({"_read_id": F.get("_tokens", F.lit(0)), "_passthrough": loose_of(F.col("_rest")), "_pairs": pairs_of(F.col("_rest"))})
+    return out.withColumn("_tags", tags_of(F.col("_pairs"))).drop("_tokens", "_rest", "_pairs")
 
 
 def render(read_id: Column, passthrough: Column, tags: Column) -> Column:

@@ -83,8 +83,12 @@ def status_line(chemistry: Chemistry) -> Column:
     return F.concat_ws("|", "name", F.when(F.col("success"), won).otherwise("FAIL"), *(status(c.name) for c in chemistry.barcodes))
 
 
+def called(bc: str) -> Column:
+    return F.get(F.filter("calls", lambda c: c["bc"] == bc), F.lit(0))
+
+
 def call(bc: str, field: str) -> Column:
-    return F.get(F.filter("calls", lambda c: c["bc"] == bc), F.lit(0))[field]
+    return called(bc)[field]
 
 
 def with_umis(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
@@ -151,39 +155,40 @@ def with_targets(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
 
 def annotated(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
     """Reads whose name holds all that the stages found so far, as tags with their spans."""
-    parsed = headers.parse(F.col("name"))
-    tags = parsed["tags"]
+    out = headers.with_parsed(reads, "name")
     add: list[tuple[str, Column]] = []
     if "calls" in reads.columns:
+        out = out.withColumns({f"_{c.name}": called(c.name) for c in chemistry.barcodes})
         for c in chemistry.barcodes:
-            add += [(c.name, call(c.name, "value")), (c.spans, headers.span(call(c.name, "start"), call(c.name, "end")))]
+            own = F.col(f"_{c.name}")
+            add += [(c.name, own["value"]), (c.spans, headers.span(own["start"], own["end"]))]
     if "umi" in reads.columns:
         umi = chemistry.first(Kind.UMI)
         add += [(umi.name, F.col("umi.value")), (umi.spans, headers.span(F.col("umi.start"), F.col("umi.end")))]
     if "target" in reads.columns:
         target = chemistry.first(Kind.TARGET)
         add += [(target.name, F.col("target")), (target.spans, headers.span(F.col("target_start"), F.col("target_end")))]
-    names = [k for k, _ in add]
+    names, tags = [k for k, _ in add], F.col("_tags")
     kept = F.filter(tags, lambda t: ~t["k"].isin(names)) if names else tags
     new = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in add)), lambda t: t["v"].isNotNull()) if add else F.array()
-    return reads.withColumn("name", headers.render(parsed["read_id"], parsed["passthrough"], F.concat(kept, new) if add else kept))
+    name = headers.render(F.col("_read_id"), F.col("_passthrough"), F.concat(kept, new) if add else kept)
+    return out.withColumn("name", name).drop("_read_id", "_passthrough", "_tags", *(f"_{c.name}" for c in chemistry.barcodes))
 
 
 def parsed(reads: DataFrame, chemistry: Chemistry) -> DataFrame:
     """Reads with the columns that their header's tags stand for: read_id, calls, and umi and target where the layout has them."""
-    out = reads.withColumn("_h", headers.parse(F.col("name")))
-    tags = F.col("_h.tags")
-    one = lambda c: F.struct(F.lit(c.name).alias("bc"), headers.tag(tags, c.name).alias("value"), headers.parse_span(headers.tag(tags, c.spans))["start"].alias("start"), headers.parse_span(headers.tag(tags, c.spans))["end"].alias("end"))
-    out = out.withColumn("read_id", F.col("_h.read_id")).withColumn("calls", F.filter(F.array(*(one(c) for c in chemistry.barcodes)), lambda c: c["value"].isNotNull()))
     umi, target = chemistry.first(Kind.UMI), chemistry.first(Kind.TARGET)
+    placed = [*chemistry.barcodes, *(c for c in (umi, target) if c is not None)]
+    out = headers.with_parsed(reads, "name").withColumn("_tag", F.map_from_entries("_tags"))
+    out = out.withColumns({f"_{c.name}": headers.parse_span(F.col("_tag")[c.spans]) for c in placed})
+    value, place = lambda c: F.col("_tag")[c.name], lambda c: F.col(f"_{c.name}")
+    call = lambda c: F.struct(F.lit(c.name).alias("bc"), value(c).alias("value"), place(c)["start"].alias("start"), place(c)["end"].alias("end"))
+    out = out.withColumn("read_id", F.col("_read_id")).withColumn("calls", F.filter(F.array(*(call(c) for c in chemistry.barcodes)), lambda c: c["value"].isNotNull()))
     if umi is not None:
-        span = headers.parse_span(headers.tag(tags, umi.spans))
-        value = headers.tag(tags, umi.name)
-        out = out.withColumn("umi", F.when(value.isNotNull(), F.struct(value.alias("value"), span["start"].alias("start"), span["end"].alias("end"))))
+        out = out.withColumn("umi", F.when(value(umi).isNotNull(), F.struct(value(umi).alias("value"), place(umi)["start"].alias("start"), place(umi)["end"].alias("end"))))
     if target is not None:
-        span = headers.parse_span(headers.tag(tags, target.spans))
-        out = out.withColumns({"target": F.coalesce(headers.tag(tags, target.name), F.lit(NO_TARGET)), "target_start": span["start"], "target_end": span["end"]})
-    return out.drop("_h")
+        out = out.withColumns({"target": F.coalesce(value(target), F.lit(NO_TARGET)), "target_start": place(target)["start"], "target_end": place(target)["end"]})
+    return out.drop("_read_id", "_passthrough", "_tags", "_tag", *(f"_{c.name}" for c in placed))
 
 
 def checked_headers(reads: DataFrame, key: str) -> None:

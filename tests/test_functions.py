@@ -19,6 +19,23 @@ def test_header_round_trip(spark):
     assert r.out == "id1 loose other BC1=GT x=1 UMI=T" and r.bc == "GT" and r.none is None
 
 
+def test_headers_against_plain_python(spark):
+    rng = random.Random(17)
+    token = lambda: rng.choice(["a", "b", "loose", "=", "x=", "a=1", "b=2", "a=b=3", "c=", f"k{rng.randint(0, 9)}={rng.randint(0, 9)}"])
+    texts = [None, "", "  ", *(" ".join(token() for _ in range(rng.randint(1, 12))) for _ in range(200))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, x string")
+    got = headers.with_parsed(rows.withColumn("h", headers.parse(F.col("x"))), "x").orderBy("i").collect()
+    for text, r in zip(texts, got, strict=True):
+        first, *rest = (text or "").split() or [None]
+        loose, tags = [x for x in rest if "=" not in x], {}
+        for x in rest:
+            if "=" in x:
+                tags[x.split("=", 1)[0]] = x.split("=", 1)[1]
+        want = (first, loose, list(tags.items())) if text is not None else (None, None, None)
+        for read_id, passthrough, found in ((r._read_id, r._passthrough, r._tags), (r.h.read_id, r.h.passthrough, r.h.tags)):
+            assert (read_id, passthrough, found and [tuple(t) for t in found]) == want
+
+
 def test_header_set_keeps_the_place(spark):
     h = headers.parse(F.lit("r a=1 b=2"))
     assert one(spark, x=headers.render(h["read_id"], h["passthrough"], headers.with_tag(h["tags"], "a", F.lit("9")))).x == "r a=9 b=2"

@@ -138,6 +138,15 @@ def test_headers_carry_the_stages(rows, kit):
     assert back.read_id == "perfect" and [c.end for c in back.calls] == [10, 42, 74] and back.umi.end == 82 and back.target_end == 96
 
 
+def test_headers_are_taken_apart_once(rows, kit):
+    found = reads.with_targets(reads.with_umis(reads.extracted(rows, kit), kit), kit)
+    for made in (reads.annotated(found, kit).select("name"), reads.parsed(rows, kit).select("read_id", "calls", "umi", "target", "target_end")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("split(trim(") == 1
+    back = reads.parsed(reads.annotated(found, kit).select("ord", "name", "seq", "qual"), kit)
+    same = lambda d: sorted(map(str, d.select("ord", "calls", "umi", "target", "target_start", "target_end").collect()))
+    assert back.columns == ["ord", "name", "seq", "qual", "read_id", "calls", "umi", "target", "target_start", "target_end"] and same(back) == same(found)
+
+
 def test_missing_headers_raise(spark, rows, kit):
     with pytest.raises(ValueError, match="BC1_POS"):
         reads.checked_headers(rows, "BC1_POS")
