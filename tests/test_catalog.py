@@ -31,6 +31,15 @@ def test_against_sql(spark, duck, name):
     assert plain(map(tuple, df.select(*cols).collect())) == plain(want.select(*(f'"{c}"' for c in cols)).fetchall())
 
 
+@pytest.mark.parametrize("name", ["extraction_counts", "extraction_totals", "target_outcomes", "umi_outcomes"])
+def test_reports_read_their_table_once(spark, monkeypatch, name):
+    read = spark.sparkContext.accumulator(0)
+    keys = spark.sparkContext.parallelize([(k, 3 * k) for k in range(70)], 2).map(lambda r: (read.add(1), r)[1])
+    orders = spark.createDataFrame(keys, "o_orderkey long, o_custkey long")
+    monkeypatch.setattr(catalog, "table", lambda *_: orders)
+    assert catalog.queries()[name](spark, "").count() and read.value == 70
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
